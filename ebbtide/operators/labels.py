@@ -132,12 +132,13 @@ def score_to_class(
         if method == "fixed":
             cut = (thresholds or (0.5,))[0]
         else:
-            cut = quantile_values(fitted, [("fatigue_score", 0.5)])[("fatigue_score", 0.5)]
+            cut = quantile_values(fitted, [("fatigue_score", 0.5)], hold=True)[("fatigue_score", 0.5)]
         label = F.when(score <= cut, specs.HEALTHY).otherwise(specs.FATIGUED)
         return df.withColumn("fatigue_label", F.when(score.isNotNull(), label))
     lo, hi = thresholds or (0.33, 0.66)
     if method == "quantile" or lo >= hi:
-        found = quantile_values(fitted, [("fatigue_score", 0.33), ("fatigue_score", 0.66)])
+        asks = [("fatigue_score", 0.33), ("fatigue_score", 0.66)]
+        found = quantile_values(fitted, asks, hold=True)
         lo, hi = found.values()
     if lo is None or lo >= hi:
         lo, hi = 0.2, 0.5

@@ -12,6 +12,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,12 +58,28 @@ class _Ask:
 
 
 def quantile_values(
-    df: DataFrame, asks: Sequence[tuple[str, float]], by: Sequence[str] = ()
+    df: DataFrame, asks: Sequence[tuple[str, float]], by: Sequence[str] = (), hold: bool = False
 ) -> dict[tuple, float | None]:
     """Linear-interpolation quantiles as ``{(column, p) or (column, p, *group): value}``.
 
     ``by`` must have few distinct values (classes, stages); they are listed by one aggregation.
+    ``hold`` keeps the needed columns stored between the scans: right for derived panels, wrong
+    for raw logs that are cheap to scan again.
     """
+    if not hold:
+        return _quantile_values(df, asks, by)
+    needed = df.select(*dict.fromkeys([*by, *[c for c, _ in asks]])).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
+    try:
+        return _quantile_values(needed, asks, by)
+    finally:
+        needed.unpersist()
+
+
+def _quantile_values(
+    df: DataFrame, asks: Sequence[tuple[str, float]], by: Sequence[str]
+) -> dict[tuple, float | None]:
     groups = [()]
     if by:
         groups = [tuple(r) for r in df.select(*by).distinct().collect()]
@@ -173,8 +190,8 @@ def _interpolate(a: _Ask) -> float | None:
 def quantile_frame(
     df: DataFrame, asks: Sequence[tuple[str, float, str]], by: Sequence[str] = ()
 ) -> DataFrame:
-    """One row (per ``by``) with a column per ask ``(source column, p, output name)``."""
-    values = quantile_values(df, [(c, p) for c, p, _ in asks], by)
+    """One row (per ``by``) of a panel with a column per ask ``(source column, p, output name)``."""
+    values = quantile_values(df, [(c, p) for c, p, _ in asks], by, hold=True)
     groups = list(dict.fromkeys(k[2:] for k in values))
     rows = [
         tuple(g) + tuple(values[(c, float(p), *g)] for c, p, _ in asks) for g in groups

@@ -71,8 +71,8 @@ def fold_roles(
     A period trains every later fold and validates the folds that start just before it, so the
     folds of a row follow from its rank and no join is needed. Apply it to per-period totals.
     """
-    last = n_periods - val_periods
-    rank = F.col("rank")
+    ranked = ranked.withColumn("_last", n_periods.cast("int") - val_periods)
+    rank, last = F.col("rank"), F.col("_last")
 
     def folds(low: Column, high: Column, role: str) -> Column:
         span = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
@@ -83,7 +83,7 @@ def fold_roles(
         F.greatest(rank - val_periods + 1, F.lit(min_train)), F.least(rank, last), "validation"
     )
     return ranked.withColumn("_f", F.explode(F.concat(train, val))).select(
-        "_f.fold", "_f.role", *ranked.columns
+        "_f.fold", "_f.role", *[c for c in ranked.columns if c != "_last"]
     )
 
 

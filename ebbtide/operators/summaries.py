@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,6 @@ from ebbtide import specs
 from ebbtide.functions import scalars as S
 from ebbtide.operators.quantiles import quantile_frame
 
-CORRELATIONS_PER_PASS = 200
-
-
 def share_percent(condition: Column) -> Column:
     """Percentage of rows for which the condition holds."""
     return F.avg(condition.cast("double")) * 100
@@ -85,24 +84,60 @@ def funnel_averages(panel: DataFrame) -> DataFrame:
 def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson coefficient of every column pair over the rows where both are present.
 
-    All pairs come from one scan (chunked only to stay within code generation limits).
+    Each task reduces its Arrow batches to one moment matrix per partition, so only
+    columns x columns sums are shuffled however many rows there are.
     """
-    pairs = list(combinations(cols, 2))
-    out = None
-    for start in range(0, len(pairs), CORRELATIONS_PER_PASS):
-        chunk = pairs[start : start + CORRELATIONS_PER_PASS]
-        row = df.agg(*[_pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
-        items = F.array(*[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(chunk)
-        ])
-        part = row.select(F.inline(items))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _pearson(a: str, b: str) -> Column:
-    return S.finite_or_null(F.corr(F.col(a).cast("double"), F.col(b).cast("double")))
+    cols = list(cols)
+    values = df.select(*[S.finite_or_null(F.col(c)).alias(c) for c in cols]).persist()
+    try:
+        means = values.agg(*[F.avg(c) for c in cols]).collect()[0]
+        moments = values.mapInPandas(_pair_moments([m or 0.0 for m in means]), _MOMENTS)
+        totals = moments.groupBy("i", "j").agg(
+            *[F.sum(c).alias(c) for c in ("n", "si", "sj", "qi", "qj", "p")]
+        )
+        rows = totals.collect()  # one row per column pair
+    finally:
+        values.unpersist()
+    found = {(r["i"], r["j"]): _pearson(r) for r in rows}
+    table = [(a, b, found.get((i, j))) for (i, a), (j, b) in combinations(enumerate(cols), 2)]
+    return df.sparkSession.createDataFrame(table, "a string, b string, r double")
+
+
+_MOMENTS = "i int, j int, n double, si double, sj double, qi double, qj double, p double"
+
+
+def _pair_moments(centers: Sequence[float]):
+    """Per partition: pairwise-complete sums of the centred columns."""
+    mu = np.asarray(centers, dtype=float)
+    upper = np.triu_indices(len(mu), k=1)
+
+    def run(batches):
+        sums = None
+        for batch in batches:
+            x = batch.to_numpy(dtype=float, na_value=np.nan)
+            seen = ~np.isnan(x)
+            z, m = np.where(seen, x - mu, 0.0), seen.astype(float)
+            part = np.stack([m.T @ m, z.T @ m, (z * z).T @ m, z.T @ z])
+            sums = part if sums is None else sums + part
+        if sums is not None:
+            n, s, q, p = sums
+            i, j = upper
+            yield pd.DataFrame({
+                "i": i.astype("int32"), "j": j.astype("int32"), "n": n[i, j], "si": s[i, j],
+                "sj": s[j, i], "qi": q[i, j], "qj": q[j, i], "p": p[i, j],
+            })
+
+    return run
+
+
+def _pearson(row) -> float | None:
+    n = row["n"]
+    if n < 2:
+        return None
+    spread_i, spread_j = row["qi"] - row["si"] ** 2 / n, row["qj"] - row["sj"] ** 2 / n
+    if spread_i <= 1e-12 * row["qi"] or spread_j <= 1e-12 * row["qj"]:
+        return None
+    return (row["p"] - row["si"] * row["sj"] / n) / (spread_i * spread_j) ** 0.5
 
 
 def overview(panel: DataFrame, spec: specs.SourceSpec) -> DataFrame:

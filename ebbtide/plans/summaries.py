@@ -267,8 +267,9 @@ _BOXES = (
     + f", {r6(f'max({c})')} AS maximum FROM {s}_panel GROUP BY {by}" for s, c, by in _BOXES
 ))
 def _(t: Tables):
+    panels = {s: t.labelled(s) for s in SOURCE_NAMES}
     return portable(union(
-        summaries.five_numbers(t.labelled(s), c, by).withColumnRenamed(by, "grp").select(
+        summaries.five_numbers(panels[s], c, by).withColumnRenamed(by, "grp").select(
             F.lit(s).alias("source"), F.lit(c).alias("metric"), "*"
         )
         for s, c, by in _BOXES
