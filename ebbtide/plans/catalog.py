@@ -1,6 +1,6 @@
 """Imports every plan module so that its queries are registered."""
 
-from ebbtide.plans import features, panels, raw, summaries  # noqa: F401
+from ebbtide.plans import features, panels, raw, scored, summaries  # noqa: F401
 from ebbtide.plans.base import ORACLE_BODIES, QUERIES, compose
 
 ORACLES = {name: compose(body) for name, body in ORACLE_BODIES.items()}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+
 # Class names in label-code order (alphabetical).
 CLASSES = ("healthy", "high_fatigue", "moderate_fatigue")
 HEALTHY, HIGH, MODERATE = CLASSES
@@ -154,7 +156,7 @@ REVIEW_HISTORY_COLUMNS = (
 
 BRANCH_WEIGHTS = {"reviews": 0.3, "sales": 0.3, "usage": 0.4}
 
-THRESHOLD_GRID = tuple(round(0.05 + 0.01 * i, 2) for i in range(91))
+THRESHOLD_GRID = tuple(float(x) for x in np.linspace(0.05, 0.95, 91))
 HEALTHY_WEIGHT_GRID = (0.35, 0.5, 0.65, 0.8, 1.0)
 FATIGUE_WEIGHT_GRID = (1.0, 1.25, 1.5, 2.0, 2.5, 3.0)
 CASE_HEALTHY_WEIGHT_GRID = (1.0, 0.8, 0.65, 0.5, 0.35)
