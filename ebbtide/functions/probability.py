@@ -89,8 +89,5 @@ def brier(p: Column, actual_index: Column) -> Column:
 
 def reliability_bin(confidence: Column, n_bins: int = 10) -> Column:
     """Bin index by comparison with the exact edges i * (1/n); the last bin is closed."""
-    step = 1.0 / n_bins
-    out = F.lit(0)
-    for i in range(1, n_bins):
-        out = out + (confidence >= F.lit(i * step)).cast("int")
-    return out
+    edges = F.array(*[F.lit(i * (1.0 / n_bins)) for i in range(1, n_bins)])
+    return F.size(F.filter(edges, lambda e: e <= confidence))

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Callable, Mapping, Sequence
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide.operators import metrics
+from ebbtide import specs
+from ebbtide.functions import probability as P
+from ebbtide.functions import scalars as S
+from ebbtide.operators import balancing, calibration, metrics, models, splits, summaries
+from ebbtide.operators.prep import Prepared, assemble
 from ebbtide.operators.quantiles import quantile_values
 
 MIN_SUBGROUP = 10
@@ -25,3 +33,284 @@ def subgroup_metrics(
     groups = F.array(band, F.concat(F.lit("lifecycle_"), F.col(stage_col)))
     rows = scored.select("y", "pred", F.explode(groups).alias("subgroup")).where("subgroup IS NOT NULL")
     return metrics.evaluate(rows, ["subgroup"]).where(F.col("n") >= MIN_SUBGROUP)
+
+
+def integrity(parts: Mapping[str, DataFrame], features: Sequence[str]) -> DataFrame:
+    """Per prepared part: rows, rows with any null or non-finite feature, rows without a class."""
+    out = None
+    for name, df in parts.items():
+        values = vector_to_array("features")
+        bad = F.exists(values, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+        row = df.agg(
+            F.count("*").alias("n_rows"),
+            F.count_if(bad).alias("n_bad_rows"),
+            F.count_if(F.size(values) != len(features)).alias("n_wrong_width"),
+            F.count_if(F.col("label").isNull()).alias("n_unlabelled"),
+        ).select(F.lit(name).alias("part"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def leaked_columns(features: Sequence[str]) -> dict[str, list[str]]:
+    """Feature names that give the label away, by kind."""
+    have = set(features)
+    return {
+        "label_derived": [c for c in specs.LABEL_DERIVED_COLUMNS if c in have],
+        "global_z": [c for c in specs.GLOBAL_Z_COLUMNS if c in have],
+    }
+
+
+def near_constant(df: DataFrame, cols: Sequence[str], below: float = 0.01) -> DataFrame:
+    """(column, std) of the columns whose population deviation is below the bound."""
+    row = df.agg(*[F.stddev_pop(c).alias(c) for c in cols])
+    table = summaries.unpivot_row(row, {c: {"std": c} for c in cols})
+    return table.where(F.col("std") < below)
+
+
+def proxy_probe(prepared: Prepared) -> DataFrame:
+    """Shallow-tree probe: a tree of depth five that scores too well hints at leakage."""
+    tree = models.fit("decision_tree", prepared.train, prepared.classes, maxDepth=5)
+    scored = tree.predict(prepared.test)
+    top, share = tree.importances(prepared.features)[0]
+    result = metrics.evaluate(scored, (), "_class", "pred").select("f1_macro", "accuracy")
+    verdict = F.when(F.col("f1_macro") > 0.95, "FAIL").when(F.col("f1_macro") > 0.90, "WARN").otherwise("PASS")
+    return result.withColumns({
+        "verdict": verdict, "top_feature": F.lit(top), "top_importance": F.lit(share),
+        "dominated": F.lit(share > 0.70),
+    })
+
+
+def gaussian(key: Column, salt: Column) -> Column:
+    """Standard normal from hashes, so that a retried task draws the same noise."""
+    scale = F.lit(float(2**53))
+
+    def uniform(tag: str) -> Column:
+        bits = F.pmod(F.xxhash64(key, salt, F.lit(tag)), F.lit(2**53))
+        return (bits + 0.5) / scale
+
+    return F.sqrt(-2.0 * F.log(uniform("radius"))) * F.cos(2.0 * math.pi * uniform("angle"))
+
+
+def noise_flips(
+    classifier: models.Classifier, df: DataFrame, key: Column, sigmas: Sequence[float] = (0.1, 0.5, 1.0)
+) -> DataFrame:
+    """Share of rows whose class changes under Gaussian feature noise, per sigma."""
+    base = classifier.predict(df).withColumnRenamed("pred", "_base").drop("p")
+    noisy = (
+        base.withColumn("_key", key)
+        .withColumn("sigma", F.explode(F.array(*[F.lit(float(s)) for s in sigmas])))
+        .withColumn("_values", vector_to_array("features"))
+        .withColumn(
+            "_values",
+            F.transform("_values", lambda v, i: v + F.col("sigma") * gaussian(F.col("_key"), i)),
+        )
+        .withColumn("features", array_to_vector("_values"))
+    )
+    flips = classifier.predict(noisy)
+    return flips.groupBy("sigma").agg(
+        F.avg((F.col("pred") != F.col("_base")).cast("double")).alias("flip_rate"),
+        F.count("*").alias("n_rows"),
+    )
+
+
+SCALES = (0.01, 0.1, 0.5, 2.0, 10.0, 100.0)
+AGES = (0.0, 1.0, 60.0, 1200.0)
+
+
+def perturbations(features: Sequence[str]) -> list[tuple[str, str, str | None, float]]:
+    """(name, kind, feature, amount) of every table-wide perturbation."""
+    out: list[tuple[str, str, str | None, float]] = []
+    out += [(f"scale_{s}", "scale", None, s) for s in SCALES]
+    out += [(f"age_{int(a)}", "set", "product_age_months", a) for a in AGES]
+    out += [("noise_1_percent", "noise", None, 0.01)]
+    for c in features:
+        out += [(f"flip_{c}", "scale", c, -1.0), (f"zero_{c}", "set", c, 0.0), (f"missing_{c}", "missing", c, 0.0)]
+    return out
+
+
+def perturbation_sensitivity(
+    score: Callable[[DataFrame], DataFrame], rows: DataFrame, features: Sequence[str], key: Column
+) -> DataFrame:
+    """Flip rate and confidence shift of whole-table input perturbations.
+
+    ``score`` adds ``pred`` and ``confidence``. Rows are expanded over a fixed list of
+    perturbations in place; nothing is joined or collected.
+    """
+    base = score(rows).select(
+        *rows.columns, F.col("pred").alias("_pred"), F.col("confidence").alias("_conf")
+    )
+    items = F.array(*[
+        F.struct(
+            F.lit(n).alias("name"), F.lit(k).alias("kind"), F.lit(f).alias("feature"), F.lit(a).alias("amount")
+        )
+        for n, k, f, a in perturbations(features)
+    ])
+    wide = base.withColumn("_key", key).withColumn("_do", F.explode(items))
+    kind, amount = F.col("_do.kind"), F.col("_do.amount")
+    changed = {}
+    for c in features:
+        x = F.col(c).cast("double")
+        mine = F.col("_do.feature").isNull() | (F.col("_do.feature") == c)
+        jitter = 1 + amount * (2 * S.hash_bucket(F.concat(F.col("_key"), F.lit(c))) / 1e6 - 1)
+        changed[c] = (
+            F.when(mine & (kind == "scale"), x * amount)
+            .when(mine & (kind == "set"), amount)
+            .when(mine & (kind == "missing"), F.lit(None).cast("double"))
+            .when(mine & (kind == "noise"), x * jitter)
+            .otherwise(x)
+        )
+    shaken = score(wide.withColumns(changed))
+    return shaken.groupBy(F.col("_do.name").alias("perturbation")).agg(
+        F.avg((F.col("pred") != F.col("_pred")).cast("double")).alias("flip_rate"),
+        F.avg(F.col("confidence") - F.col("_conf")).alias("confidence_shift"),
+        F.count("*").alias("n_rows"),
+    )
+
+
+def permuted_partner(df: DataFrame, key: Column, n: int, group_rows: int = 50_000) -> DataFrame:
+    """Add ``_partner``: the features of another row, each used exactly once.
+
+    Rows are spread by hash over groups of bounded size and every row takes the next one's values
+    in hash order, the last one the first's.
+    """
+    groups = max(1, math.ceil(n / group_rows))
+    placed = df.withColumns({
+        "_g": F.pmod(F.xxhash64(key, F.lit("g")), F.lit(groups)), "_o": F.xxhash64(key, F.lit("o"))
+    })
+    part = Window.partitionBy("_g").orderBy("_o")
+    whole = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    values = vector_to_array("features")
+    following = F.coalesce(F.lead(values).over(part), F.first(values).over(whole))
+    return placed.withColumn("_partner", following).drop("_g", "_o")
+
+
+def permutation_importance(
+    classifier: models.Classifier, df: DataFrame, features: Sequence[str], key: Column
+) -> DataFrame:
+    """Macro-F1 loss per feature when its values are permuted over the table, one scoring pass."""
+    base = metrics.macro_f1(classifier.predict(df), "_class", "pred")
+    partner = permuted_partner(df, key, df.count())
+    wide = partner.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
+    mixed = F.transform(
+        vector_to_array("features"),
+        lambda v, i: F.when(i == F.col("_f"), F.get(F.col("_partner"), i)).otherwise(v),
+    )
+    shuffled = classifier.predict(wide.withColumn("features", array_to_vector(mixed)))
+    table = metrics.evaluate(shuffled, ["_f"], "_class", "pred")
+    names = F.array(*[F.lit(c) for c in features])
+    drop = F.lit(base) - F.col("f1_macro")
+    return table.select(
+        F.get(names, F.col("_f")).alias("feature"), drop.alias("f1_drop"), (drop > 0.15).alias("fragile")
+    )
+
+
+def linear_contributions(
+    classifier: models.Classifier, df: DataFrame, features: Sequence[str], k: int | None = None
+) -> DataFrame:
+    """Mean absolute contribution coefficient * value of each scaled feature, averaged over classes."""
+    weights = abs(classifier.models[0].coefficientMatrix.toArray()).mean(axis=0)
+    size = F.zip_with(
+        vector_to_array("features"), F.array(*[F.lit(float(w)) for w in weights]), lambda x, w: F.abs(x) * w
+    )
+    means = df.select(size.alias("s")).agg(
+        *[F.avg(F.get("s", F.lit(i))).alias(c) for i, c in enumerate(features)]
+    )
+    table = summaries.unpivot_row(means, {c: {"mean_contribution": c} for c in features}, "feature")
+    ordered = table.orderBy(F.desc("mean_contribution"), "feature")
+    return ordered.limit(k) if k else ordered
+
+
+def bootstrap(df: DataFrame, key: Column, replicates: int = 10, y: str = "y", pred: str = "pred") -> DataFrame:
+    """Macro F1 mean, deviation, 95 % interval and stability over Poisson bootstrap replicates.
+
+    Every row gets a Poisson(1) weight per replicate from its hash, so the whole table takes part
+    and only confusion counts are shuffled.
+    """
+    u = S.hash_bucket(F.concat(key, F.lit("#"), F.col("replicate").cast("string"))) / 1e6
+    cumulative, term, weight = 0.0, math.exp(-1.0), F.lit(0)
+    for count in range(8):
+        cumulative += term
+        weight = weight + (u >= cumulative).cast("int")
+        term /= count + 1
+    rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    conf = rows.groupBy("replicate", F.col(y).alias("y"), F.col(pred).alias("pred")).agg(
+        F.sum(weight).alias("n")
+    ).where("n > 0")
+    scores = metrics.report(conf, ["replicate"])
+    low_high = F.percentile("f1_macro", [0.025, 0.975])  # one value per replicate
+    out = scores.agg(
+        F.avg("f1_macro").alias("mean_f1"), F.stddev_pop("f1_macro").alias("std_f1"),
+        F.get(low_high, F.lit(0)).alias("ci_low"), F.get(low_high, F.lit(1)).alias("ci_high"),
+    )
+    band = F.when(F.col("std_f1") < 0.02, "Stable").when(F.col("std_f1") < 0.04, "Moderate").otherwise("Unstable")
+    return out.withColumn("stability", band)
+
+
+def ablations(source: str, features: Sequence[str]) -> list[tuple[str, list[str], bool, bool]]:
+    """(name, removed features, balanced, calibrated) of the standard experiments."""
+    out: list[tuple[str, list[str], bool, bool]] = [("full_model", [], True, True)]
+
+    def add(name: str, removed: list[str]) -> None:
+        if removed:
+            out.append((name, removed, True, True))
+
+    def containing(parts: Sequence[str]) -> list[str]:
+        return [c for c in features if any(p in c for p in parts)]
+
+    add("no_product_age", containing(specs.ABLATION_FRAGMENTS["no_product_age"]))
+    for name, prefixes in specs.ABLATION_PREFIXES.items():
+        add(name, [c for c in features if c.startswith(prefixes)])
+    add("no_rolling_features", containing(specs.ABLATION_FRAGMENTS["no_rolling_features"]))
+    out.append(("no_balancing", [], False, True))
+    out.append(("no_calibration", [], True, False))
+    add("only_base_features", containing(specs.ABLATION_FRAGMENTS["only_base_features"]))
+    name, parts = specs.ABLATION_BY_SOURCE[source]
+    add(name, containing(parts))
+    return out
+
+
+def run_ablations(prepared: Prepared, source: str, kind: str = "boosted_trees", **params) -> DataFrame:
+    """Test metrics of every experiment and the loss against the full model."""
+    rows = []
+    for name, removed, balanced, calibrated in ablations(source, prepared.features):
+        kept = [c for c in prepared.features if c not in removed]
+        train = assemble(prepared.train.drop("features"), kept)
+        test = assemble(prepared.test.drop("features"), kept)
+        if calibrated:
+            train, held = splits.stratified_split(train, "_class", ["_id", "_period"], 0.2)
+        if balanced:
+            train = balancing.oversample(train)
+        model = models.fit(kind, train, prepared.classes, **params)
+        scored = model.predict(test)
+        if calibrated:
+            fitted = calibration.fit_calibrator(model.predict(held), prepared.classes)
+            scored = fitted.apply(scored, "p", "q").withColumn(
+                "pred", P.class_at(P.arg_max(F.col("q")), prepared.classes)
+            )
+        row = metrics.evaluate(scored, (), "_class", "pred").collect()[0]
+        rows.append((name, len(kept), float(row["f1_macro"]), float(row["accuracy"]), float(row["recall_macro"])))
+    first = rows[0][2]
+    rows = [(*r, r[2] - first) for r in rows]
+    schema = "experiment string, n_features int, f1_macro double, accuracy double, recall_macro double, delta_f1 double"
+    return prepared.train.sparkSession.createDataFrame(rows, schema)
+
+
+SEVERITIES = ("LOW", "MEDIUM", "HIGH")
+
+
+def verdict(issues: DataFrame, results: DataFrame, stability: Column) -> DataFrame:
+    """Overall verdict from issue severities, leakage, model statuses and bootstrap stability."""
+    found = issues.agg(
+        F.count_if(F.col("severity") == "HIGH").alias("n_high"),
+        F.count_if(F.col("severity") == "MEDIUM").alias("n_medium"),
+        F.count_if(F.col("severity") == "LOW").alias("n_low"),
+        F.count_if((F.col("component") == "leakage") & (F.col("severity") == "HIGH")).alias("n_leaks"),
+    )
+    fine = results.agg(F.coalesce(F.every(F.col("status").isin("PASS", "CHECK")), F.lit(True))).scalar()
+    text = (
+        F.when((F.col("n_leaks") > 0) | (F.col("n_high") > 0), "NEEDS FIX — HIGH RISK issues detected")
+        .when(~fine, "NEEDS REVIEW — model performance issues")
+        .when(~stability.isin("Stable", "Moderate"), "NEEDS FIX — model instability detected")
+        .otherwise("SAFE — Pipeline is robust and production-ready")
+    )
+    return found.withColumn("verdict", text)

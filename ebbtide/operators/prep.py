@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -214,3 +214,8 @@ def prepare(
         medians={c: middle[c] for c in numeric}, scaling=scaling, stages=tuple(stages),
         dropped={"mostly_null": tuple(empty), "correlated": tuple(twins)},
     )
+
+
+def replace_frames(prepared: Prepared, train: DataFrame, test: DataFrame) -> Prepared:
+    """The same fitted preparation over stored frames."""
+    return replace(prepared, train=train, test=test)

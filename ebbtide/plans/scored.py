@@ -498,10 +498,10 @@ def _(t: Tables):
 
 
 @query("x7_branch_count_guard", """
-SELECT has_reviews::INT + has_sales::INT + has_usage::INT AS n_branches, has_reviews::INT + has_sales::INT + has_usage::INT >= 2 AS fusable,
+SELECT (has_reviews::INT + has_sales::INT + has_usage::INT)::BIGINT AS n_branches, has_reviews::INT + has_sales::INT + has_usage::INT >= 2 AS fusable,
   count(*) AS n_products FROM branches GROUP BY ALL""")
 def _(t: Tables):
-    df = branch_table(t).select("n_branches", (F.col("n_branches") >= 2).alias("fusable"))
+    df = branch_table(t).select(F.col("n_branches").cast("bigint"), (F.col("n_branches") >= 2).alias("fusable"))
     return df.groupBy("n_branches", "fusable").agg(F.count("*").alias("n_products"))
 
 
@@ -529,7 +529,7 @@ def _(t: Tables):
 _RISK = ("least(greatest(CASE pred WHEN 'high_fatigue' THEN 72 + confidence * 28 WHEN 'moderate_fatigue' THEN 45 + confidence * 24 "
          "ELSE 10 + (1 - confidence) * 18 END, 0), 100)")
 for _s in SOURCE_NAMES:
-    fragment(f"{_s}_risk", f"SELECT *, {r6(_RISK, 2)} AS risk_score FROM {_s}_scored")
+    fragment(f"{_s}_risk", f"SELECT *, round(({_RISK})::DOUBLE::VARCHAR::DECIMAL(38,20), 2)::DOUBLE AS risk_score FROM {_s}_scored")
 
 
 @query("x11_risk_score", f"SELECT {_KEY}, risk_score FROM sales_risk")
