@@ -104,7 +104,7 @@ def _(t: Tables):
     return metrics.confusion(scored(t, "sales"))
 
 
-def _class_fragments(name: str, by: str = "") -> None:
+def class_fragments(name: str, by: str = "") -> None:
     """Per-class counts of a scored fragment, optionally within a group column."""
     group = f"{by}, " if by else ""
     fragment(f"{name}_classes", f"""
@@ -121,8 +121,8 @@ FROM {name}_classes {f'GROUP BY {by}' if by else ''}""")
 
 
 for _s in SOURCE_NAMES:
-    _class_fragments(f"{_s}_scored")
-_class_fragments("brand_sales_scored")
+    class_fragments(f"{_s}_scored")
+class_fragments("brand_sales_scored")
 _REPORT = ("accuracy", "precision_macro", "recall_macro", "f1_macro", "balanced_accuracy")
 _REPORT_SQL = "n, " + ", ".join(f"{r6(c)} AS {c}" for c in _REPORT)
 
@@ -208,7 +208,7 @@ def _(t: Tables):
 
 
 fragment("stage_scored", "SELECT * FROM sales_scored")
-_class_fragments("stage_scored", "lifecycle_stage")
+class_fragments("stage_scored", "lifecycle_stage")
 
 
 @query("e8_metric_summary", "\nUNION ALL\n".join(
@@ -289,7 +289,7 @@ fragment("weight_grid", _grid_sql(specs.HEALTHY_WEIGHT_GRID, specs.FATIGUE_WEIGH
 fragment("case_grid", _grid_sql(specs.CASE_HEALTHY_WEIGHT_GRID, specs.CASE_FATIGUE_WEIGHT_GRID))
 fragment("weighted", f"""
 SELECT candidate, wh, wa, wb, y, {_argmax_sql('p0 * wh', 'p1 * wa', 'p2 * wb')} AS pred FROM brand_sales_scored, weight_grid""")
-_class_fragments("weighted", "candidate, wh, wa, wb")
+class_fragments("weighted", "candidate, wh, wa, wb")
 
 
 @query("k4_class_weight_table", f"""
@@ -434,7 +434,7 @@ SELECT *, CASE WHEN product_age_months <= lo THEN 'age_young' WHEN product_age_m
 FROM sales_scored, (SELECT quantile_cont(product_age_months, 0.33) AS lo, quantile_cont(product_age_months, 0.66) AS hi FROM sales_scored)""")
 fragment("group_scored", """
 SELECT y, pred, subgroup FROM age_scored UNION ALL SELECT y, pred, 'lifecycle_' || lifecycle_stage FROM sales_scored""")
-_class_fragments("group_scored", "subgroup")
+class_fragments("group_scored", "subgroup")
 
 
 @query("r12_subgroup_metrics", f"""
