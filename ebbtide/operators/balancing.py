@@ -62,7 +62,7 @@ def _synthetic(minority: DataFrame, n: int, target: int, k: int, features: str)
 def _grow(copies: float, k: int):
     """New rows of one block: each base row moves a random share towards one of its neighbours."""
 
-    def run(key, block: pd.DataFrame) -> pd.DataFrame:
+    def run(key, block):
         x = np.stack([np.asarray(v, dtype=float) for v in block["v"]])
         x = x[np.lexsort(x.T[::-1])]
         rng = np.random.default_rng([specs.SEED, *(abs(int(part)) for part in key)])
