@@ -27,10 +27,13 @@ def count_char(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
-def text_statistics(text: Column) -> dict[str, Column]:
-    """Length, words, diversity, complaints, punctuation and capitals of one text."""
+def text_statistics(text: Column, tokens: Column | None = None) -> dict[str, Column]:
+    """Length, words, diversity, complaints, punctuation and capitals of one text.
+
+    Pass ``tokens`` when the words were already split into a column.
+    """
     body = F.coalesce(text, F.lit(""))
-    tokens = words(body)
+    tokens = words(body) if tokens is None else tokens
     n_words = F.greatest(F.size(tokens), F.lit(1))
     complaints = F.array(*[F.lit(w) for w in specs.COMPLAINT_WORDS])
     upper = F.length(F.regexp_replace(body, r"[^\p{IsUppercase}]", ""))

@@ -18,8 +18,9 @@ MAX_STD_COMPONENTS = 8
 
 def document_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Statistics of every text, once per document."""
-    stats = X.text_statistics(F.col(text))
-    return documents.select(key, *[c.alias(name) for name, c in stats.items()])
+    split = documents.select(key, text, X.words(F.coalesce(F.col(text), F.lit(""))).alias("_words"))
+    stats = X.text_statistics(F.col(text), F.col("_words"))
+    return split.select(key, *[c.alias(name) for name, c in stats.items()])
 
 
 def text_features(

@@ -9,7 +9,7 @@ scalars reach the driver, and the cut points become literals that can be pushed
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -80,16 +80,15 @@ def quantile_values(
 def _quantile_values(
     df: DataFrame, asks: Sequence[tuple[str, float]], by: Sequence[str]
 ) -> dict[tuple, float | None]:
-    groups = [()]
-    if by:
-        groups = [tuple(r) for r in df.select(*by).distinct().collect()]
     asks = list(dict.fromkeys((c, float(p)) for c, p in asks))
-    todo = [_Ask(c, p, g) for g in groups for c, p in asks]
-    if not todo:
-        return {}
-    _size(df, todo, by)
+    todo = _size(df, asks, by)
     result = {(a.column, a.p, *a.group): a for a in todo}
     todo = [a for a in todo if a.inside]
+    if todo:
+        _first_pass(df, todo, by)
+    todo = [a for a in todo if a.missing]
+    if todo:
+        _resketch(df, todo, by)
     while todo:
         _narrow(df, todo, by)
         todo = [a for a in todo if a.missing]
@@ -100,24 +99,107 @@ def _run(df: DataFrame, exprs: Sequence[Column]) -> list:
     return list(df.agg(*[e.alias(f"x{i}") for i, e in enumerate(exprs)]).collect()[0])
 
 
+def _run_by(df: DataFrame, by: Sequence[str], exprs: Sequence[Column]) -> dict[tuple, list]:
+    """One row of results per group."""
+    named = [e.alias(f"x{i}") for i, e in enumerate(exprs)]
+    rows = df.groupBy(*by).agg(*named).collect()
+    return {tuple(r[: len(by)]): list(r[len(by) :]) for r in rows}
+
+
 def _sketch(value: Column, p: float, width: float) -> Column:
     return F.percentile_approx(value, [max(p - width, 0.0), min(p + width, 1.0)], ACCURACY)
 
 
-def _size(df: DataFrame, todo: Sequence[_Ask], by: Sequence[str]) -> None:
-    """Row counts, target ranks and first brackets from one scan."""
+def _size(df: DataFrame, asks: Sequence[tuple[str, float]], by: Sequence[str]) -> list[_Ask]:
+    """Row counts, target ranks and first brackets: one scan, one sketch per column and group."""
+    width = 2 / ACCURACY
+    cols = list(dict.fromkeys(c for c, _ in asks))
+    probs = {c: [p for name, p in asks if name == c] for c in cols}
     exprs: list[Column] = []
-    for a in todo:
-        exprs += [F.count(a.value(by)), _sketch(a.value(by), a.p, a.width)]
-    got = _run(df, exprs)
-    for i, a in enumerate(todo):
-        a.inside = got[2 * i]
-        if not a.inside:
-            continue
-        position = a.p * (a.inside - 1)
-        a.rank = math.floor(position)
-        a.fraction = position - a.rank
-        a.bracket = got[2 * i + 1]
+    for c in cols:
+        v = F.col(c).cast("double")
+        edges = [e for p in probs[c] for e in (max(p - width, 0.0), min(p + width, 1.0))]
+        exprs += [F.count(v), F.min(v), F.max(v), F.percentile_approx(v, edges, ACCURACY)]
+    out = []
+    for group, got in _run_by(df, by, exprs).items():
+        for i, c in enumerate(cols):
+            n, lowest, highest, brackets = got[4 * i : 4 * i + 4]
+            for k, p in enumerate(probs[c]):
+                a = _Ask(c, p, group, inside=n)
+                out.append(a)
+                if not n:
+                    continue
+                position = p * (n - 1)
+                a.rank = math.floor(position)
+                a.fraction = position - a.rank
+                a.bracket = brackets[2 * k : 2 * k + 2]
+                a.found = {r: v for r, v in ((0, lowest), (n - 1, highest)) if r in a.ranks}
+    return out
+
+
+def _by_group(by: Sequence[str], values: Mapping[tuple, float]) -> Column:
+    """The value that belongs to the row's group."""
+    if not by:
+        return F.lit(values.get((), None)).cast("double")
+    out = F.lit(None).cast("double")
+    for group, value in values.items():
+        same = F.lit(True)
+        for name, v in zip(by, group, strict=True):
+            same = same & F.col(name).eqNullSafe(F.lit(v))
+        out = F.when(same, F.lit(value)).otherwise(out)
+    return out
+
+
+def _first_pass(df: DataFrame, todo: Sequence[_Ask], by: Sequence[str]) -> None:
+    """Count around all first brackets in one scan; small inputs are resolved at once."""
+    todo = [a for a in todo if a.missing]
+    if not todo:
+        return
+    small = max(a.inside for a in todo) <= MAX_INSIDE
+    wanted = list(dict.fromkeys((a.column, a.p) for a in todo))
+    place = {(a.column, a.p, *a.group): a for a in todo}
+    exprs: list[Column] = []
+    for c, p in wanted:
+        mine = [a for a in todo if (a.column, a.p) == (c, p)]
+        lo = _by_group(by, {a.group: a.bracket[0] for a in mine})
+        hi = _by_group(by, {a.group: a.bracket[1] for a in mine})
+        rank = F.max(_by_group(by, {a.group: float(a.rank) for a in mine})).cast("bigint")
+        v = F.col(c).cast("double")
+        middle = F.when((v > lo) & (v < hi), v)
+        under, at_lo = F.count_if(v < lo), F.count_if(v == lo)
+        exprs += [under, at_lo, F.count(middle), F.count_if((v == hi) & (lo != hi))]
+        if small:
+            ordered = F.sort_array(F.collect_list(middle))
+            first = (rank - under - at_lo).cast("int")
+            exprs += [F.get(ordered, first), F.get(ordered, first + 1)]
+    step = 6 if small else 4
+    for group, got in _run_by(df, by, exprs).items():
+        for i, (c, p) in enumerate(wanted):
+            a = place.get((c, p, *group))
+            if a is not None:
+                _place(a, got[step * i : step * i + 4], got[step * i + 4 : step * i + step])
+
+
+def _place(a: _Ask, counts: Sequence[int], picks: Sequence[float | None]) -> bool:
+    """Note the ranks that the counts around the bracket settle; whether the bracket holds all."""
+    lo, hi = a.bracket
+    under, at_lo, middle, at_hi = counts
+    start = a.below + under
+    end = start + at_lo + middle + at_hi
+    if any(r < start or r >= end for r in a.missing):
+        a.width *= 4  # the sketch missed a rank: bracket it more generously
+        return False
+    for r in a.missing:
+        if r < start + at_lo:
+            a.found[r] = lo
+        elif r >= start + at_lo + middle:
+            a.found[r] = hi
+        elif picks and picks[r - a.rank] is not None:
+            a.found[r] = picks[r - a.rank]
+    if a.missing:
+        a.low, a.high, a.below, a.inside = lo, hi, start + at_lo, middle
+        a.width = 2 / ACCURACY
+    return True
 
 
 def _narrow(df: DataFrame, todo: Sequence[_Ask], by: Sequence[str]) -> None:
@@ -127,28 +209,10 @@ def _narrow(df: DataFrame, todo: Sequence[_Ask], by: Sequence[str]) -> None:
         lo, hi = a.bracket
         v = a.value(by)
         middle = F.when((v > lo) & (v < hi), v)
-        exprs += [F.count_if(v < lo), F.count_if(v == lo), F.count(middle), F.count_if(v == hi)]
+        exprs += [F.count_if(v < lo), F.count_if(v == lo), F.count(middle)]
+        exprs.append(F.count_if((v == hi) & F.lit(lo != hi)))
     got = _run(df, exprs)
-    ready: list[_Ask] = []
-    for i, a in enumerate(todo):
-        lo, hi = a.bracket
-        under, at_lo, middle, at_hi = got[4 * i : 4 * i + 4]
-        start = a.below + under
-        if lo == hi:
-            at_hi = 0
-        first_above = start + at_lo + middle + at_hi
-        if any(r < start or r >= first_above for r in a.missing):
-            a.width *= 4  # the sketch missed a rank: bracket it more generously
-            continue
-        for r in a.missing:
-            if r < start + at_lo:
-                a.found[r] = lo
-            elif r >= start + at_lo + middle:
-                a.found[r] = hi
-        if a.missing:
-            a.low, a.high, a.below, a.inside = lo, hi, start + at_lo, middle
-            a.width = 2 / ACCURACY
-            ready.append(a)
+    ready = [a for i, a in enumerate(todo) if _place(a, got[4 * i : 4 * i + 4], ()) and a.missing]
     _select(df, [a for a in ready if a.inside <= MAX_INSIDE], by)
     _resketch(df, [a for a in todo if a.missing], by)
 

@@ -8,12 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 64
 
 
+def _position(value: Column, low: int, high: int) -> Column:
+    """Number of bounds below the value, by halving."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(value > F.col(f"_b{middle}"), _position(value, middle + 1, high)).otherwise(
+        _position(value, low, middle)
+    )
+
+
 def running_totals(
     values: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str]
 ) -> DataFrame:
@@ -22,10 +32,12 @@ def running_totals(
     ``values`` holds one row per key and value; the keys must have few combinations (classes).
     """
     splits = [i / BUCKETS for i in range(1, BUCKETS)]
-    bounds = values.groupBy(*keys).agg(F.percentile_approx(value, splits, 1000).alias("_bounds"))
-    bucketed = values.join(F.broadcast(bounds), list(keys)).withColumn(
-        "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value)))
-    ).drop("_bounds")
+    bounds = values.groupBy(*keys).agg(F.percentile_approx(value, splits, 1000).alias("_b")).select(
+        *keys, *[F.get("_b", F.lit(i)).alias(f"_b{i}") for i in range(BUCKETS - 1)]
+    )
+    bucketed = values.join(F.broadcast(bounds), list(keys)).select(  # one row per class
+        *values.columns, _position(F.col(value), 0, BUCKETS - 1).alias("_bucket")
+    )
     totals = bucketed.groupBy(*keys, "_bucket").agg(*[F.sum(w).alias(f"_{w}") for w in weights])
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ from ebbtide import specs
 from ebbtide.functions import scalars as S
 from ebbtide.functions import text as X
 from ebbtide.operators import cleaning, history, validation
+from ebbtide.operators.embeddings import document_statistics
 from ebbtide.plans.base import Tables, fragment, query, r6, sql_bucket
 from ebbtide.plans.panels import ID_TIME
 from ebbtide.plans.shape import names, portable, rounded, sql_cols
@@ -351,10 +352,7 @@ TEXT_COLS = (
 
 @query("p20_text_statistics", f"SELECT {sql_cols('i:doc_id ' + TEXT_COLS)} FROM document_features")
 def _(t: Tables):
-    stats = X.text_statistics(F.col("text"))
-    return portable(t["documents"].select(
-        "doc_id", *[c.alias(n) for n, c in stats.items()]
-    ))
+    return portable(document_statistics(t["documents"]))
 
 
 @query("p21_composed_text", """

@@ -50,7 +50,7 @@ def reviews_log(
         joined = joined.join(brands, F.col("l_partkey") == F.col("p_partkey"))
         product = F.col("p_brand")
     n_docs = documents.agg(F.count("*")).scalar()
-    keyed = documents.select("doc_id", F.sha2(F.col("text"), 256).alias("TextKey"))
+    keyed = documents.select("doc_id", F.unhex(F.sha2(F.col("text"), 256)).alias("TextKey"))
     rows = joined.withColumn("doc_id", F.col("l_orderkey") % n_docs).join(keyed, "doc_id")
     priority = F.split(F.col("o_orderpriority"), "-", 2)
     return rows.select(
