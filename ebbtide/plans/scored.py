@@ -6,6 +6,8 @@ here is checked exactly and without a model.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -648,3 +650,38 @@ def _(t: Tables):
     return portable(scoring.ranked_drivers(long, ["product"], "feature", "value"))
 
 
+# ----------------------------------------------------------------- I8 on scored rows
+
+
+def _poisson_steps() -> list[float]:
+    steps, total, term = [], 0.0, math.exp(-1.0)
+    for count in range(8):
+        total += term
+        steps.append(total)
+        term /= count + 1
+    return steps
+
+
+_BOOT_KEY = "product || '|' || strftime(month, '%Y-%m-%d') || '#' || replicate::VARCHAR"
+_BOOT_U = f"({sql_bucket(_BOOT_KEY)} / 1000000.0::DOUBLE)"
+fragment("boot_rows", f"""
+SELECT replicate, y, pred, {' + '.join(f'({_BOOT_U} >= {c!r}::DOUBLE)::INT' for c in _poisson_steps())} AS w
+FROM brand_sales_scored, (SELECT unnest(generate_series(1, 10)) AS replicate)""")
+fragment("boot_f1", """
+SELECT replicate, avg(2.0::DOUBLE * tp / (2 * tp + fp + fn)) AS f1 FROM (
+  SELECT replicate, class, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (
+    SELECT replicate, y AS class, w * (y = pred)::INT AS tp, 0 AS fp, w * (y <> pred)::INT AS fn FROM boot_rows
+    UNION ALL SELECT replicate, pred, 0, w * (y <> pred)::INT, 0 FROM boot_rows) GROUP BY ALL)
+WHERE 2 * tp + fp + fn > 0 GROUP BY replicate""")
+
+
+@query("i8_bootstrap_of_scored_rows", f"""
+SELECT {r6('avg(f1)')} AS mean_f1, {r6('stddev_pop(f1)')} AS std_f1, {r6('quantile_cont(f1, 0.025)')} AS ci_low,
+  {r6('quantile_cont(f1, 0.975)')} AS ci_high,
+  CASE WHEN stddev_pop(f1) < 0.02 THEN 'Stable' WHEN stddev_pop(f1) < 0.04 THEN 'Moderate' ELSE 'Unstable' END AS stability
+FROM boot_f1""")
+def _(t: Tables):
+    from ebbtide.operators.audit import bootstrap
+
+    key = F.concat_ws("|", "product", F.date_format("month", "yyyy-MM-dd"))
+    return portable(bootstrap(scored(t, "sales", "brand"), key, 10))
