@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import fingerprints, quality_rules, token_counts
+from ebbtide.llm import fingerprints, jaccard_join, mixing, packing, quality_rules, token_counts
 from ebbtide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,55 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("posterior", 6).alias("posterior"),
     )
+
+
+@query("op4_ngram_jaccard_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = jaccard_join.similar_documents(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
+    return members
+
+
+#: Exact for words of any length: shingles are joined with a separator that no word holds.
+ORACLES["op4_ngram_jaccard_join"] = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM words
+), keyed AS (
+  SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS k, s FROM sets
+), nodes AS (
+  SELECT k, min(doc_id) AS node, min(n) AS n FROM keyed WHERE n > 0 GROUP BY k
+), tokens AS (
+  SELECT node, nodes.n, unnest(s) AS t FROM nodes JOIN keyed ON keyed.doc_id = node
+), common AS (
+  SELECT a.node AS u, b.node AS v, a.n AS nu, b.n AS nv, count(*) AS c
+  FROM tokens a JOIN tokens b ON a.t = b.t AND a.node < b.node AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+  GROUP BY ALL
+), links AS (
+  SELECT u, v FROM common WHERE 100 * c >= 90 * (nu + nv - c)
+), both_ways AS (
+  SELECT u, v FROM links UNION SELECT v, u FROM links
+), reach AS (
+  SELECT node AS u, node AS v FROM nodes
+  UNION
+  SELECT reach.u, both_ways.v FROM reach JOIN both_ways ON reach.v = both_ways.u
+), named AS (
+  SELECT u AS node, min(v) AS component_id FROM reach GROUP BY u
+)
+SELECT keyed.doc_id, keyed.n::BIGINT AS n_shingles, coalesce(named.component_id, keyed.doc_id) AS component_id
+FROM keyed LEFT JOIN nodes ON keyed.k = nodes.k AND keyed.n > 0 LEFT JOIN named USING (node)
+"""
+
+
+@query("op5_source_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
+
+
+@query("op10_best_fit_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
