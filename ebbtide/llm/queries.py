@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import fingerprints, jaccard_join, mixing, packing, quality_rules, token_counts
+from ebbtide.llm import (
+    chat,
+    fingerprints,
+    jaccard_join,
+    mixing,
+    packing,
+    quality,
+    quality_rules,
+    token_counts,
+    toxicity,
+)
 from ebbtide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +107,64 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.grade(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op2_tool_call_linking")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_tool_calls(*chat.calls_of_turns(table(spark, sf_dir, "conversations")))
+
+
+ORACLES["op2_tool_call_linking"] = r"""
+WITH RECURSIVE one AS (
+  SELECT conv_id, turn, min(role) AS role, min_by(text, (role, text)) AS text FROM conversations GROUP BY conv_id, turn
+), asked AS (
+  SELECT conv_id, turn + 1 AS turn, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM one WHERE role = 'user'
+), raw AS (
+  SELECT a.conv_id, a.turn, length(a.text) AS size, len(w) AS n, array_to_string(w[1:8], ' ') AS query
+  FROM one a LEFT JOIN asked USING (conv_id, turn) WHERE a.role = 'assistant'
+), calls AS (
+  SELECT conv_id, turn, 'call-' || conv_id || '-' || turn AS call_id,
+    ['search', 'lookup', 'calculate', 'translate'][CASE WHEN size % 13 = 0 THEN 4 ELSE 1 + size % 3 END] AS name,
+    CASE WHEN turn > 1 AND n % 2 = 0 THEN 'call-' || conv_id || '-' || (turn - 2) END AS after, n, query
+  FROM raw
+), chain AS (
+  SELECT c.conv_id, c.call_id, 0 AS level FROM calls c LEFT JOIN calls d ON c.conv_id = d.conv_id AND c.after = d.call_id
+  WHERE d.call_id IS NULL
+  UNION ALL
+  SELECT c.conv_id, c.call_id, chain.level + 1 FROM calls c JOIN chain ON c.conv_id = chain.conv_id AND c.after = chain.call_id
+), results AS (
+  SELECT conv_id, 'call-' || conv_id || '-' || (turn - 1) AS call_id, text AS result FROM one WHERE role = 'user' AND turn > 0
+), joined AS (
+  SELECT c.*, chain.level, r.result, r.call_id IS NOT NULL AS linked,
+    list_filter([
+      CASE WHEN name = 'calculate' AND n IS NULL THEN 'missing limit' END,
+      CASE WHEN name = 'calculate' AND n % 11 = 0 THEN 'type of limit' END,
+      CASE WHEN name = 'calculate' AND query <> '' THEN 'unknown argument' END,
+      CASE WHEN name = 'lookup' AND n % 11 = 0 THEN 'type of limit' END,
+      CASE WHEN name = 'lookup' AND coalesce(query, '') = '' THEN 'missing query' END,
+      CASE WHEN name = 'search' AND n IS NULL THEN 'missing limit' END,
+      CASE WHEN name = 'search' AND n % 11 = 0 THEN 'type of limit' END,
+      CASE WHEN name = 'search' AND coalesce(query, '') = '' THEN 'missing query' END,
+      CASE WHEN name = 'translate' THEN 'unknown tool' END
+    ], lambda x: x IS NOT NULL) AS errors
+  FROM calls c JOIN chain USING (conv_id, call_id) LEFT JOIN results r USING (conv_id, call_id)
+)
+SELECT conv_id, turn, call_id, name, level::BIGINT AS level, linked, len(errors) = 0 AS valid, array_to_string(errors, ',') AS errors,
+  '{"arguments":{"after":' || to_json(coalesce(after, ''))
+    || CASE WHEN n IS NULL THEN '' WHEN n % 11 = 0 THEN ',"limit":"' || n || '"' ELSE ',"limit":' || n END
+    || CASE WHEN coalesce(query, '') = '' THEN '' ELSE ',"query":' || to_json(query) END
+    || '},"call_id":' || to_json(call_id) || ',"errors":' || to_json(errors) || ',"level":' || level
+    || ',"name":' || to_json(name) || ',"result":' || coalesce(to_json(result)::VARCHAR, 'null') || '}' AS message
+FROM joined
+"""
