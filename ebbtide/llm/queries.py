@@ -11,6 +11,7 @@ from ebbtide.llm import (
     chat,
     fingerprints,
     jaccard_join,
+    licenses,
     mixing,
     packing,
     quality,
@@ -168,3 +169,19 @@ SELECT conv_id, turn, call_id, name, level::BIGINT AS level, linked, len(errors)
     || ',"name":' || to_json(name) || ',"result":' || coalesce(to_json(result)::VARCHAR, 'null') || '}' AS message
 FROM joined
 """
+
+
+def with_paths(docs: DataFrame) -> DataFrame:
+    """Documents placed in a tree by source, language and hundreds of ids, at three depths; some are licence files."""
+    top, block = F.col("source"), F.floor(F.col("doc_id") / 100).cast("string")
+    id_ = F.col("doc_id").cast("string")
+    name = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("LICENSE-"), id_)).otherwise(F.concat(id_, F.lit(".txt")))
+    path = F.when(F.col("doc_id") % 3 == 0, F.concat_ws("/", top, name)).when(
+        F.col("doc_id") % 3 == 1, F.concat_ws("/", top, F.col("lang"), name)
+    ).otherwise(F.concat_ws("/", top, F.col("lang"), block, name))
+    return docs.select("doc_id", "text", path.alias("path"))
+
+
+@query("op8_license_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(with_paths(table(spark, sf_dir, "documents")))
