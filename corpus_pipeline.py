@@ -32,7 +32,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     members, _ = jaccard_join.similar_documents(docs, width=5, num=4, den=5)
     copies = members.filter("component_id <> doc_id").select(F.col("doc_id").alias("_copy"))
-    return docs.join(copies, docs["doc_id"] == F.col("_copy"), "left_anti")
+    return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

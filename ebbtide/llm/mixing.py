@@ -175,7 +175,7 @@ def mixed_sizes(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFr
     """Per document: doc_id, size, source_size, target (its source's) and taken (words the mix takes)."""
     spans, placed, plan = mix(docs, block, seed)
     taken = spans.groupBy("s", "start").agg(F.sum("n_words").alias("words"))
-    target = F.split(F.lit(",".join(map(repr, plan.targets))), ",").cast("array<double>")
+    target = F.split(F.lit(",".join(map(repr, plan.targets or [0.0]))), ",").cast("array<double>")
     joined = placed.alias("p").join(
         taken.alias("t"),
         (F.col("p.s") == F.col("t.s")) & (F.col("p.start") == F.col("t.start")) & (F.col("p.size") > 0), "left",
@@ -189,7 +189,8 @@ def mixed_sizes(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFr
 def mixed_texts(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """``docs`` as the mix takes them: a row per document and epoch, its text the words taken, in order.
 
-    A document taken whole keeps its text as it is. Documents without words are not taken.
+    A document taken whole keeps its text as it is. Documents without words are not taken. Rows that share id,
+    source and size are taken to be the same text.
     """
     spans, placed, _ = mix(docs, block, seed)
     rows = spans.groupBy("doc_id", "s", "start", "epoch").agg(
@@ -198,20 +199,16 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFr
     rows = rows.join(placed.select("s", "start", "size", "source").filter("size > 0"), ["s", "start"]).select(
         "doc_id", "source", "size", "spans", "taken", "epoch"
     )
-    texts = docs.withColumn("_size", count_words(F.col("text"))).alias("d")
-    joined = texts.join(
-        rows.alias("r"),
-        F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d._size") == F.col("r.size"))
-        & F.col("d.source").cast("string").eqNullSafe(F.col("r.source")),
-    )
-    words = words_of(F.col("d.text"))
-    cut = F.array_join(F.flatten(F.transform(
-        F.col("r.spans"), lambda x: F.slice(F.col("_words"), (x["first_word"] + 1).cast("int"), x["n_words"].cast("int"))
-    )), " ")
-    text = F.when(F.col("r.taken") == F.col("r.size"), F.col("d.text")).otherwise(cut)
-    full = joined.withColumn("_words", F.when(F.col("r.taken") < F.col("r.size"), words)).withColumn("_text", text)
-    return full.select(*[
-        F.col("_text").alias("text") if c == "text"
-        else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
-        else F.col(f"d.`{c}`") for c in docs.columns
+    whole = docs.select(F.struct("*").alias("d"), count_words(F.col("text")).alias("n"))
+    joined = whole.join(
+        rows, F.col("d.doc_id").eqNullSafe(rows["doc_id"]) & (F.col("n") == rows["size"])
+        & F.col("d.source").cast("string").eqNullSafe(rows["source"]),
+    ).select("d", "spans", (F.col("taken") == F.col("size")).alias("is_whole"))
+    cut = joined.withColumn("words", F.when(~F.col("is_whole"), words_of(F.col("d.text"))))
+    spans = F.transform("spans", lambda x: F.slice(F.col("words"), (x["first_word"] + 1).cast("int"), x["n_words"].cast("int")))
+    taken = cut.select("d", F.when(F.col("is_whole"), F.col("d.text")).otherwise(F.array_join(F.flatten(spans), " ")).alias("taken"))
+    return taken.select(*[
+        F.col("taken").alias("text") if c == "text"
+        else F.length("taken").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
+        else F.col(f"d.`{c}`").alias(c) for c in docs.columns
     ])

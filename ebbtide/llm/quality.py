@@ -150,4 +150,4 @@ def pages_site(url: Column) -> tuple[Column, Column]:
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are kept, all their columns. Rows that share an id are kept if one of them is."""
     kept = score(docs, labels, sample=sample, threshold=threshold).filter("keep").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
