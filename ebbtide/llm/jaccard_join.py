@@ -7,14 +7,17 @@
    size, and with the shorter prefix that suffices there as guests in the band above.
 3. All sets under one key belong to the group of the key's least home set. A group is dealt out in pairs of
    blocks of bounded size, so no group has to fit a task.
-4. Within a pair of blocks, two sets are candidates only if their prefixes meet under order one *and* under
-   two more orders (by seeded hash); the filters are intersected and what is left is verified on the whole
-   sets. Sets that verified links already connect are not compared again, so a unit gives at most one link
-   less than it has sets, whatever the number of similar pairs.
-5. Components of the links, by least document id.
-
-Only sets that share a key with another one are gathered: a bitmap of ``BITS`` bits over their ids, again of
-fixed size, keeps the others out of the shuffle.
+4. The filter of order two (by seeded hash) runs on longer prefixes, of which two sets must share more than one
+   shingle. Only these prefixes are shuffled; sets without a partner in their group drop out.
+5. Whole sets of what is left meet in the same units. Candidates must share prefix shingles under order one *and*
+   two *and* three; the filters are intersected and what remains is verified. Sets that verified links already
+   connect are not compared again, so a unit gives at most one link less than it has sets, whatever the number
+   of similar pairs.
+6. Components of the links, by least document id.
+
+Bitmaps of ``BITS`` bits over the ids that are still needed, of fixed size too, keep the others out of the
+shuffles of steps 4 and 5. Words and shingles are hashed from the bytes of an Arrow batch by numpy, a bounded
+number of bytes at a time.
 
 Defined results: a null or empty text has an empty set, is linked with nothing and is its own component; a
 text of fewer words than a shingle is one shingle; repeated texts share a component; other columns are not
@@ -41,20 +44,10 @@ BITS = 1 << 24
 #: Sets and shingles that a block holds on average, at most.
 BLOCK_SETS = 256
 BLOCK_TOKENS = 1 << 19
-WORDS_KEPT = 1 << 19
+CHUNK_BYTES = 1 << 21
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-class WordHashes(dict):
-    """Hash of a word, remembered for frequent words."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) < WORDS_KEPT:
-            self[word] = value
-        return value
-
-
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ np.uint64(seed)
@@ -63,18 +56,69 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str, width: int, hashes: WordHashes) -> np.ndarray:
-    """Ascending distinct shingle hashes of a text lower-cased in A to Z."""
-    words = text.encode().lower().split()  # bytes: ASCII letters and the six ASCII separators only
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    if len(words) < width:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=1)], dtype=np.uint64)
-    word = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    total = word[: len(word) - width + 1].copy()
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes separate words, and a random value of each byte, capitals as small letters."""
+    separates = np.zeros(256, dtype=bool)
+    separates[[0x20, *range(0x09, 0x0E)]] = True
+    folded = np.arange(256, dtype=np.uint64)
+    folded[0x41:0x5B] += np.uint64(32)
+    return separates, mixed(folded + np.uint64(1), SEEDS[0])
+
+
+def place_weights(n: int) -> np.ndarray:
+    """Odd random factors of the places in a word."""
+    return mixed(np.arange(n, dtype=np.uint64), SEEDS[1]) | np.uint64(1)
+
+
+def _chunk_sets(raw: np.ndarray, bounds: np.ndarray, width: int) -> list[np.ndarray]:
+    separates, letter = _tables()
+    n_docs = len(bounds) - 1
+    at = np.flatnonzero(~separates[raw])
+    if not len(at):
+        return [np.zeros(0, dtype=np.uint64)] * n_docs
+    new = np.r_[True, at[1:] != at[:-1] + 1]
+    first_byte = np.searchsorted(at, bounds[:-1])
+    new[first_byte[first_byte < len(at)]] = True
+    start = np.flatnonzero(new)
+    length = np.diff(np.r_[start, len(at)])
+    place = np.arange(len(at)) - np.repeat(start, length)
+    value = letter[raw[at]] * place_weights(int(length.max()))[place]
+    word = mixed(np.add.reduceat(value, start) + length.astype(np.uint64))
+    first = np.searchsorted(start, first_byte)
+    after = np.r_[first[1:], len(start)]
+    grams = word[: max(len(word) - width + 1, 0)].copy()
     for k in range(1, width):
-        total = mixed(total) + word[k : len(word) - width + 1 + k]
-    return np.unique(mixed(total))
+        grams = mixed(grams) + word[k : k + len(grams)]
+    grams = mixed(grams)
+    sets = []
+    for a, b in zip(first.tolist(), after.tolist(), strict=True):
+        if b - a >= width:
+            own = np.sort(grams[a : b - width + 1])
+            sets.append(own[np.r_[True, own[1:] != own[:-1]]])
+        elif b > a:  # fewer words than a shingle: the whole sequence
+            whole = np.array([b - a], dtype=np.uint64)
+            for w in word[a:b]:
+                whole = mixed(whole, SEEDS[0]) + w
+            sets.append(mixed(whole))
+        else:
+            sets.append(np.zeros(0, dtype=np.uint64))
+    return sets
+
+
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """Ascending distinct shingle hashes of each text, lower-cased in A to Z; an array without nulls."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    if not len(texts):
+        return []
+    offsets = np.frombuffer(offsets, dtype=kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    sets: list[np.ndarray] = []
+    while len(sets) < len(texts):
+        k = len(sets)
+        end = max(int(np.searchsorted(offsets, offsets[k] + CHUNK_BYTES, side="right")) - 1, k + 1)
+        sets += _chunk_sets(data[offsets[k] : offsets[end]], offsets[k : end + 1] - offsets[k], width)
+    return sets
 
 
 def slot_of(own: np.ndarray) -> np.ndarray:
@@ -95,9 +139,21 @@ class Threshold:
         """Prefix of a set of n for partners that are not smaller."""
         return n - -(-2 * self.num * n // (self.num + self.den)) + 1
 
+    def shared(self, n):
+        """Shingles that linked sets share in their longer prefixes: at least the lesser value of the two."""
+        return n // 16 + 1
+
+    def longer(self, n):
+        """Length of the prefix that shows ``shared`` common shingles."""
+        return self.home(n) + self.shared(n) - 1
+
     def linked(self, common, n, m):
         return (self.num + self.den) * common >= self.num * (n + m)
 
+    def near(self, size: np.ndarray) -> np.ndarray:
+        """Matrix of the sizes that can link."""
+        return self.den * np.minimum.outer(size, size) >= self.num * np.maximum.outer(size, size)
+
     def bands(self) -> list[int]:
         """First sizes of the bands; sizes that can link are in one band or in neighbouring ones."""
         first = [1]
@@ -110,11 +166,10 @@ def _measured(width: int):
     """Per document its set's size and key, and per task how many sets hold a shingle of each slot."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(SLOTS, dtype=np.int64)
+        counts = np.zeros(SLOTS, dtype=np.int64)
         for batch in it:
             sizes, keys, slots = [], [], [np.zeros(0, dtype=np.int64)]
-            for text in batch.column(1).to_pylist():
-                own = shingle_set(text, width, hashes)
+            for own in shingle_sets(batch.column(1), width):
                 sizes.append(len(own))
                 keys.append(xxhash.xxh3_128_hexdigest(own.tobytes()) if len(own) else None)
                 slots.append(slot_of(own))
@@ -134,8 +189,19 @@ def _measured(width: int):
     return run
 
 
-def rare_first(own: np.ndarray, held: np.ndarray) -> np.ndarray:
-    return own[np.lexsort((own, held[slot_of(own)]))]
+def rare_first(own: np.ndarray, held: np.ndarray, n: int) -> np.ndarray:
+    """The first n of a set under order one; ties by hash."""
+    if n >= len(own):
+        return own
+    count = np.minimum(held[slot_of(own)], (1 << 20) - 1).astype(np.uint64)
+    rank = count << np.uint64(44) | own >> np.uint64(20)
+    return own[np.argpartition(rank, n)[:n]]
+
+
+def seeded_first(own: np.ndarray, seed: int, n: int) -> np.ndarray:
+    """The first n of a set under the order of a seeded hash, as those hashes."""
+    other = mixed(own, seed)
+    return np.partition(other, n)[:n] if n < len(own) else other
 
 
 def _prefixes(width: int, threshold: Threshold, held: np.ndarray):
@@ -143,17 +209,15 @@ def _prefixes(width: int, threshold: Threshold, held: np.ndarray):
     bands = threshold.bands()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in it:
             keys = []
-            for text in batch.column(1).to_pylist():
-                own = shingle_set(text, width, hashes)
+            for own in shingle_sets(batch.column(1), width):
                 n, band = len(own), bisect_right(bands, len(own))
-                ranked = rare_first(own, held)
-                home = mixed(ranked[: threshold.home(n)], band) if n else ranked
-                guest = mixed(ranked[: threshold.guest(n)], band + 1) if n else ranked
+                home = rare_first(own, held, threshold.home(n)) if n else own
+                guest = rare_first(home, held, threshold.guest(n)) if n else own
                 # the least bit says who is at home
-                keys.append(np.r_[home | np.uint64(1), guest & ~np.uint64(1)].astype(np.int64) if n else home.astype(np.int64))
+                home, guest = mixed(home, band) | np.uint64(1), mixed(guest, band + 1) & ~np.uint64(1)
+                keys.append(np.r_[home, guest].astype(np.int64))
             yield pa.record_batch({
                 "doc_id": batch.column(0),
                 "keys": pa.ListArray.from_arrays(
@@ -164,32 +228,60 @@ def _prefixes(width: int, threshold: Threshold, held: np.ndarray):
     return run
 
 
-def _sets(width: int, wanted: np.ndarray):
-    """Whole sets of the documents whose bit is set."""
+def _sets(width: int, wanted: np.ndarray, threshold: Threshold | None = None):
+    """Size and whole set, or longer prefix under order two, of the documents whose bit is set."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in it:
             bit = batch.column(2).to_numpy()
             at = np.flatnonzero(wanted[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1))
             part = batch.take(pa.array(at))
-            own = [shingle_set(t, width, hashes).tobytes() for t in part.column(1).to_pylist()]
-            yield pa.record_batch({"doc_id": part.column(0), "tokens": pa.array(own, pa.binary())})
+            sets = shingle_sets(part.column(1), width)
+            sizes = [len(own) for own in sets]
+            if threshold is not None:
+                sets = [seeded_first(own, SEEDS[0], threshold.longer(len(own))) if len(own) else own for own in sets]
+            yield pa.record_batch({
+                "doc_id": part.column(0), "size": pa.array(sizes, pa.int64()),
+                "tokens": pa.array([own.tobytes() for own in sets], pa.binary()),
+            })
 
     return run
 
 
-def _meets(prefixes: list[np.ndarray], n: int) -> np.ndarray:
-    """Matrix of the sets whose prefixes share a token."""
-    token = np.concatenate(prefixes)
-    owner = np.repeat(np.arange(n), [len(p) for p in prefixes])
+def _runs(tokens: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each token that several sets hold, who holds it."""
+    token = np.concatenate(tokens)
+    owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
+    for k in np.flatnonzero(np.diff(starts) > 1):
+        yield owner[starts[k] : starts[k + 1]]
+
+
+def _shared(prefixes: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the number of tokens that prefixes share."""
+    n = len(prefixes)
+    counts = np.zeros((n, n), dtype=np.int32)
+    for own in _runs(prefixes):
+        counts[np.ix_(own, own)] += 1
+    return counts
+
+
+def partnered(prefixes: list[np.ndarray], size: np.ndarray, threshold: Threshold, allowed: np.ndarray) -> np.ndarray:
+    """Which sets of a unit pass the filters of size and order two with any other."""
+    need = threshold.shared(size)
+    candidate = allowed & (_shared(prefixes) >= np.minimum.outer(need, need)) & threshold.near(size)
+    np.fill_diagonal(candidate, False)
+    return candidate.any(axis=1)
+
+
+def _meets(prefixes: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the sets whose prefixes share a token."""
+    n = len(prefixes)
     matrix = np.zeros((n, n), dtype=bool)
-    for a, b in zip(starts[:-1], starts[1:], strict=True):
-        if b - a > 1:
-            matrix[np.ix_(owner[a:b], owner[a:b])] = True
+    for own in _runs(prefixes):
+        matrix[np.ix_(own, own)] = True
     return matrix
 
 
@@ -197,21 +289,15 @@ def unit_links(sets: list[np.ndarray], threshold: Threshold, held: np.ndarray, a
     """Links that connect all linked sets of a unit; pairs outside ``allowed`` are other units' work."""
     n = len(sets)
     size = np.array([len(s) for s in sets], dtype=np.int64)
-    prefix = threshold.home(size)
-    orders = [rare_first(s, held)[:k] for s, k in zip(sets, prefix, strict=True)]
-    candidate = _meets(orders, n) & np.triu(np.ones((n, n), dtype=bool), 1)
+    prefix = threshold.home(size).tolist()
+    candidate = threshold.near(size) & np.triu(np.ones((n, n), dtype=bool), 1)
     if allowed is not None:
         candidate &= allowed
-    low, high = np.minimum.outer(size, size), np.maximum.outer(size, size)
-    candidate &= threshold.den * low >= threshold.num * high
+    candidate &= _meets([rare_first(s, held, k) for s, k in zip(sets, prefix, strict=True)])
     for seed in SEEDS:
         if not candidate.any():
             return []
-        orders = []
-        for s, k in zip(sets, prefix, strict=True):
-            other = mixed(s, seed)
-            orders.append(np.partition(other, k - 1)[:k] if k < len(s) else other)
-        candidate &= _meets(orders, n)
+        candidate &= _meets([seeded_first(s, seed, k) for s, k in zip(sets, prefix, strict=True)])
     root = np.arange(n)
     links = []
     token = np.concatenate(sets)
@@ -236,21 +322,24 @@ def unit_links(sets: list[np.ndarray], threshold: Threshold, held: np.ndarray, a
     return links
 
 
-def _units(threshold: Threshold, held: np.ndarray):
-    """Links of the units (grp, i, j) that a sorted partition holds one after another."""
+def _units(threshold: Threshold, held: np.ndarray | None = None):
+    """Works on the units (grp, i, j) that a sorted partition holds one after another.
+
+    Gives links, or with no ``held`` the sets that have a partner under order two as (u = group, v = set).
+    """
     bands = threshold.bands()
 
-    def links_of(rows: list[tuple]) -> list[tuple[int, int]]:
-        ids = [r[0] for r in rows]
+    def found_in(rows: list[tuple]) -> list[tuple[int, int]]:
         sets = [np.frombuffer(r[2], dtype=np.uint64) for r in rows]
-        block = np.array([r[1] for r in rows])
-        i, j = rows[0][4], rows[0][5]
-        at_home = np.array([bisect_right(bands, len(s)) for s in sets])
-        at_home = at_home == rows[0][6]
+        size, block = np.array([r[7] for r in rows]), np.array([r[1] for r in rows])
+        grp, i, j, band = rows[0][3:7]
+        at_home = np.array([bisect_right(bands, n) == band for n in size.tolist()])
         allowed = np.logical_or.outer(at_home, at_home)
         if i != j:
             allowed &= np.not_equal.outer(block, block)
-        return [(ids[a], ids[b]) for a, b in unit_links(sets, threshold, held, allowed)]
+        if held is None:
+            return [(grp, rows[k][0]) for k in np.flatnonzero(partnered(sets, size, threshold, allowed))]
+        return [(rows[a][0], rows[b][0]) for a, b in unit_links(sets, threshold, held, allowed)]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, rows, found = None, [], []
@@ -259,13 +348,13 @@ def _units(threshold: Threshold, held: np.ndarray):
             for row in zip(*columns, strict=True):
                 if row[3:6] != unit:
                     if len(rows) > 1:
-                        found += links_of(rows)
+                        found += found_in(rows)
                     unit, rows = row[3:6], []
                 rows.append(row)
             yield _links(found)
             found = []
         if len(rows) > 1:
-            found += links_of(rows)
+            found += found_in(rows)
         yield _links(found)
 
     return run
@@ -316,31 +405,27 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     ).filter("n > 1 and grp is not null").select("k", "grp")
     grouped = stored(keys.select("k", "doc_id").join(shared, "k").select("grp", "doc_id").distinct(), "groups")
 
-    wanted = _bitmap(grouped)
-    sets = texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("bit")).mapInArrow(
-        _sets(width, wanted), "doc_id long, tokens binary"
-    )
-    sized = grouped.join(members.select("doc_id", "n_shingles"), "doc_id")
-    blocks = sized.groupBy("grp").agg(
-        F.greatest(
-            F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_TOKENS)
-        ).cast("int").alias("blocks"),
-        F.max(F.when(F.col("doc_id") == F.col("grp"), F.col("n_shingles"))).alias("home_size"),
-        F.count("*").alias("n"),
-    ).filter("n > 1").drop("n")
-    dealt = grouped.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).select(
-        "grp", "doc_id", "block", "home_size", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
-    ).select("grp", "doc_id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "home_size")
-    band = count_below(threshold.bands(), F.col("home_size"), including=True)
-    units = dealt.withColumn("band", band).join(sets, "doc_id").select(
-        "doc_id", "block", "tokens", "grp", "i", "j", "band"
-    )
-    links = stored(
-        units.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(
-            _units(threshold, held), "u long, v long"
-        ).distinct(),
-        "links",
-    )
+    hashed = texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("bit"))
+
+    def in_units(groups: DataFrame, prefix_of: Threshold | None, work) -> DataFrame:
+        sized = groups.join(members.select("doc_id", "n_shingles"), "doc_id")
+        blocks = sized.groupBy("grp").agg(
+            F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_TOKENS)).cast("int").alias("blocks"),
+            F.count("*").alias("n"),
+        ).filter("n > 1").join(members.select(F.col("doc_id").alias("grp"), F.col("n_shingles").alias("home_size")).distinct(), "grp")
+        dealt = groups.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).select(
+            "grp", "doc_id", "block", count_below(threshold.bands(), F.col("home_size"), including=True).alias("band"),
+            F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"),
+        )
+        sets = hashed.mapInArrow(_sets(width, _bitmap(groups), prefix_of), "doc_id long, size long, tokens binary")
+        units = dealt.join(sets, "doc_id").select(
+            "doc_id", "block", "tokens", "grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "size"
+        )
+        return units.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(work, "u long, v long").distinct()
+
+    paired = in_units(grouped, threshold, _units(threshold)).select(F.col("u").alias("grp"), F.col("v").alias("doc_id"))
+    paired = stored(paired, "partnered")
+    links = stored(in_units(paired, None, _units(threshold, held)), "links")
     named = components(links)
     labelled = nodes.join(named, F.col("doc_id") == F.col("node"), "left").select(
         "set_key", F.coalesce("component", "doc_id").alias("component_id")
