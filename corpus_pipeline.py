@@ -9,10 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ebbtide.llm import jaccard_join, mixing, packing, quality, toxicity
-from ebbtide.llm.common import stored, table
+from ebbtide.llm.common import stored, table, without
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +30,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without an id take no part and stay.
     """
     members, _ = jaccard_join.similar_documents(docs, width=5, num=4, den=5)
-    copies = members.filter("component_id <> doc_id").select(F.col("doc_id").alias("_copy"))
-    return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
+    return without(docs, members.filter("component_id <> doc_id").select("doc_id"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,3 +83,17 @@ def lower_ascii(col: Column) -> Column:
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+#: Ids that are broadcast at most: 8 MB of longs.
+BROADCAST_IDS = 1 << 20
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in the one column of ``ids``; null ids stay.
+
+    The ids are counted first and broadcast only up to ``BROADCAST_IDS``; beyond, both sides are shuffled.
+    """
+    gone = stored(ids.toDF("gone").filter("gone is not null"), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["gone"], "left_anti")

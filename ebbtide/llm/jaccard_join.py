@@ -45,6 +45,9 @@ BITS = 1 << 24
 BLOCK_SETS = 256
 BLOCK_TOKENS = 1 << 19
 CHUNK_BYTES = 1 << 21
+#: Rows that a task turns into arrays at once.
+BATCH_DOCS = 1024
+BATCH_SETS = 256
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -162,12 +165,19 @@ class Threshold:
         return first
 
 
+def _slices(it: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: what a task holds at once."""
+    for batch in it:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _measured(width: int):
     """Per document its set's size and key, and per task how many sets hold a shingle of each slot."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, dtype=np.int64)
-        for batch in it:
+        for batch in _slices(it, BATCH_DOCS):
             sizes, keys, slots = [], [], [np.zeros(0, dtype=np.int64)]
             for own in shingle_sets(batch.column(1), width):
                 sizes.append(len(own))
@@ -209,7 +219,7 @@ def _prefixes(width: int, threshold: Threshold, held: np.ndarray):
     bands = threshold.bands()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in _slices(it, BATCH_DOCS):
             keys = []
             for own in shingle_sets(batch.column(1), width):
                 n, band = len(own), bisect_right(bands, len(own))
@@ -232,7 +242,7 @@ def _sets(width: int, wanted: np.ndarray, threshold: Threshold | None = None):
     """Size and whole set, or longer prefix under order two, of the documents whose bit is set."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in _slices(it, BATCH_DOCS):
             bit = batch.column(2).to_numpy()
             at = np.flatnonzero(wanted[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1))
             part = batch.take(pa.array(at))
@@ -343,7 +353,7 @@ def _units(threshold: Threshold, held: np.ndarray | None = None):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, rows, found = None, [], []
-        for batch in it:
+        for batch in _slices(it, BATCH_SETS):
             columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
             for row in zip(*columns, strict=True):
                 if row[3:6] != unit:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import stored
+from ebbtide.llm.common import stored, without
 from ebbtide.llm.quality_rules import measures
 
 SAMPLE = 20_000
@@ -148,6 +148,9 @@ def pages_site(url: Column) -> tuple[Column, Column]:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are kept, all their columns. Rows that share an id are kept if one of them is."""
-    kept = score(docs, labels, sample=sample, threshold=threshold).filter("keep").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """The documents that are kept, all their columns.
+
+    Rows that share an id stay if one of them is kept; rows without an id stay.
+    """
+    judged = score(docs, labels, sample=sample, threshold=threshold).groupBy("doc_id").agg(F.max("keep").alias("keep"))
+    return without(docs, judged.filter(~F.col("keep")).select("doc_id"))

@@ -1,12 +1,12 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
-Features are a document's distinct lower-cased tokens and their first four and five letters, hashed. Of the
+Features are a document's distinct lower-cased tokens and their first four to eight letters, hashed. Of the
 features of a labelled sample, those that toxic documents hold far more often are screened. One weight vector
 over them is shared by the ordered thresholds: ``P(grade >= k) = sigmoid(score - threshold_k)``. The outputs are
 those probabilities and the expected severity, their sum.
 
 ``labels`` may hold grades. A 0/1 label is refined for training: toxic documents of the sample get grade 1 to 3
-by how many screened features they hold per word, a third each.
+by how many screened features they hold, a third each.
 
 The model is fitted on at most ``sample`` labelled documents, taken in the order of a hash of their ids; their
 screened features (not their texts) are what the driver holds. Every document is scored whole.
@@ -32,6 +32,11 @@ from ebbtide.llm.quality import labelled_sample
 
 SAMPLE = 20_000
 FEATURES = 4096
+#: Log-likelihood ratio of a feature's share of toxic documents against the sample's; among a million features
+#: of clean documents about one gets as far by chance.
+GAIN = 13.0
+#: Least share of toxic documents among those that hold a feature.
+PURE = 0.8
 GRADES = 3
 EDGE = ".,;:!?\"'()[]{}<>*_-`~|/\\#$%&+="
 KNOWN = 400_000
@@ -42,7 +47,7 @@ def token_features(word: str) -> list[int]:
     token = word.lower().strip(EDGE)
     if not token:
         return []
-    parts = ["w" + token, *("p" + token[:k] for k in (4, 5) if len(token) > k)]
+    parts = ["w" + token, *("p" + token[:k] for k in range(4, 9) if len(token) > k)]
     return [xxhash.xxh32_intdigest(p) for p in parts]
 
 
@@ -69,7 +74,7 @@ class Model:
 
 def fit_ordinal(
     row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, n_features: int,
-    levels: int = GRADES, ridge: float = 1e-3, rounds: int = 800, rate: float = 0.05,
+    levels: int = GRADES, ridge: float = 1e-6, rounds: int = 4000, rate: float = 0.2,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds that maximise the cumulative-link likelihood (Adam on sparse rows)."""
     n = len(grade)
@@ -92,7 +97,8 @@ def fit_ordinal(
             by_cut.sum() / n, [by_cut[k:].sum() / n * gaps[k - 1] for k in range(1, levels)],
         ]
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
-        free = free + rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+        step = rate * min(1.0, 2 * (1 - t / rounds))
+        free = free + step * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     return free[:n_features], free[n_features] + np.r_[0.0, np.cumsum(np.exp(free[n_features + 1 :]))]
 
 
@@ -102,18 +108,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, levels: int = GRADES) -> Model:
     chosen = F.broadcast(labelled_sample(labels, "toxic", sample))  # ``sample`` ids at most
-    read = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    read = docs.select("doc_id", "text").join(chosen, "doc_id")
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             words = [set((t or "").split()) for t in batch["text"]]
             found = [np.unique([f for w in own for f in token_features(w)], return_counts=True) for own in words]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "y": batch["y"].astype("int32"), "n": [len(w) for w in words],
+                "doc_id": batch["doc_id"], "y": batch["y"].astype("int32"),
                 "f": [f.astype("int64") for f, _ in found], "c": [c.astype("int32") for _, c in found],
             })
 
-    rows = stored(read.mapInPandas(held, "doc_id long, y int, n int, f array<bigint>, c array<int>"), "toxicity-sample")
+    rows = stored(read.mapInPandas(held, "doc_id long, y int, f array<bigint>, c array<int>").dropDuplicates(["doc_id"]), "toxicity-sample")
     totals = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("y") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(True, 0), totals.get(False, 0)
     none = Model([], [], [float(k) for k in range(5, 5 + levels)])
@@ -121,10 +127,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
         return none
     holds = rows.select((F.col("y") > 0).cast("int").alias("toxic"), F.explode("f").alias("f")).groupBy("f").agg(
         F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")
-    ).filter("a >= 3")
-    ratio = F.log(((F.col("a") + 0.5) / (bad + 1)) / ((F.col("b") + 0.5) / (good + 1)))
+    )
+    rate, a, b, n = bad / (bad + good), F.col("a"), F.col("b"), F.col("a") + F.col("b")
+    gain = a * F.log(F.greatest(a, F.lit(1)) / (n * rate)) + b * F.log(F.greatest(b, F.lit(1)) / (n * (1 - rate)))
     screened = stored(
-        holds.withColumn("gain", F.col("a") * ratio).filter(ratio > 1.4).orderBy(F.desc("gain"), "f").limit(features).select("f"),
+        holds.withColumn("gain", gain).filter((F.col("gain") >= GAIN) & (a >= PURE * n))
+        .orderBy(F.desc("gain"), "f").limit(features).select("f"),
         "toxicity-features",
     )
     ids = sorted(r["f"] for r in screened.collect())
@@ -133,22 +141,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     entries = rows.select("doc_id", F.explode(F.arrays_zip("f", "c")).alias("x")).select("doc_id", "x.f", "x.c").join(
         F.broadcast(screened), "f"  # ``features`` rows at most
     ).toPandas()
-    known = rows.select("doc_id", "y", "n").toPandas().sort_values("doc_id", ignore_index=True)
+    known = rows.select("doc_id", "y").toPandas().sort_values("doc_id", ignore_index=True)
     row = np.searchsorted(known["doc_id"].to_numpy(), entries["doc_id"].to_numpy())
     column = np.searchsorted(np.array(ids), entries["f"].to_numpy())
     value = entries["c"].to_numpy(dtype=float)
     grade = known["y"].to_numpy(dtype=np.int64)
     if grade.max() <= 1 < levels:
-        grade = refined(grade, np.bincount(row, weights=value, minlength=len(known)) / np.maximum(known["n"], 1), levels)
+        grade = refined(grade, np.bincount(row, weights=value, minlength=len(known)), levels)
     weights, thresholds = fit_ordinal(row, column, value, np.minimum(grade, levels), len(ids), levels)
     return Model(ids, weights.tolist(), thresholds.tolist())
 
 
-def refined(toxic: np.ndarray, density: np.ndarray, levels: int) -> np.ndarray:
-    """Grades 1 to ``levels`` for toxic documents, by the quantiles of their features' density."""
-    own = np.asarray(density)[toxic > 0]
-    cuts = np.quantile(own, [k / levels for k in range(1, levels)])
-    return np.where(toxic > 0, 1 + np.searchsorted(cuts, np.asarray(density), side="right"), 0)
+def refined(toxic: np.ndarray, held: np.ndarray, levels: int) -> np.ndarray:
+    """Grades 1 to ``levels`` for toxic documents, by the quantiles of how many screened features they hold."""
+    cuts = np.quantile(held[toxic > 0], [k / levels for k in range(1, levels)])
+    return np.where(toxic > 0, 1 + np.searchsorted(cuts, held, side="right"), 0)
 
 
 def severity_score(text: Column, model: Model) -> Column:
