@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ebbtide import specs
 from ebbtide.functions import probability as P
 from ebbtide.functions import scalars as S
-from ebbtide.operators import balancing, calibration, metrics, models, splits, summaries
+from ebbtide.operators import calibration, metrics, models, splits, summaries
 from ebbtide.operators.prep import Prepared, assemble
 from ebbtide.operators.quantiles import quantile_values
 
@@ -247,7 +247,7 @@ def bootstrap(df: DataFrame, key: Column, replicates: int = 10, y: str = "y", pr
 
 
 def ablations(source: str, features: Sequence[str]) -> list[tuple[str, list[str], bool, bool]]:
-    """(name, removed features, balanced, calibrated) of the standard experiments."""
+    """(name, removed features, oversampled, calibrated) of the standard experiments."""
     out: list[tuple[str, list[str], bool, bool]] = [("full_model", [], True, True)]
 
     def add(name: str, removed: list[str]) -> None:
@@ -261,7 +261,7 @@ def ablations(source: str, features: Sequence[str]) -> list[tuple[str, list[str]
     for name, prefixes in specs.ABLATION_PREFIXES.items():
         add(name, [c for c in features if c.startswith(prefixes)])
     add("no_rolling_features", containing(specs.ABLATION_FRAGMENTS["no_rolling_features"]))
-    out.append(("no_balancing", [], False, True))
+    out.append(("no_smote", [], False, True))
     out.append(("no_calibration", [], True, False))
     add("only_base_features", containing(specs.ABLATION_FRAGMENTS["only_base_features"]))
     name, parts = specs.ABLATION_BY_SOURCE[source]
@@ -278,9 +278,7 @@ def run_ablations(prepared: Prepared, source: str, kind: str = "boosted_trees",
         test = assemble(prepared.test.drop("features"), kept)
         if calibrated:
             train, held = splits.stratified_split(train, "_class", ["_id", "_period"], 0.2)
-        if balanced:
-            train = balancing.oversample(train)
-        model = models.fit(kind, train, prepared.classes, **params)
+        model = models.fit(kind, train, prepared.classes, "oversample" if balanced else "none", **params)
         scored = model.predict(test)
         if calibrated:
             fitted = calibration.fit_calibrator(model.predict(held), prepared.classes)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import product
 from typing import Any
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ebbtide import specs
 from ebbtide.functions import probability as P
-from ebbtide.operators import metrics
+from ebbtide.operators import balancing, metrics
 
 # ---- fixed values: hyper-parameter grids of the three classifiers ----
 GRIDS: dict[str, dict[str, Sequence[Any]]] = {
@@ -86,9 +87,26 @@ def balanced_weights(train: DataFrame, label: str = "label") -> DataFrame:
     return train.withColumn("weight", weight)
 
 
-def fit(kind: str, train: DataFrame, classes: Sequence[str], **params: Any) -> Classifier:
-    """Fit one classifier on ``features`` and ``label`` with balanced row weights."""
-    train = balanced_weights(train)
+def in_parallel(work: Callable[[Any], Any], items: Iterable[Any], threads: int = 4) -> list[Any]:
+    """``work`` on each item, a few at a time: small fits leave most of a cluster idle."""
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(work, items))
+
+
+def balance_rows(train: DataFrame, mode: str = "weights", label: str = "label") -> DataFrame:
+    """Training rows with ``weight``: balanced weights, synthetic minority rows of weight 1, or as they are."""
+    if mode == "weights":
+        return balanced_weights(train, label)
+    if mode not in ("none", "oversample"):
+        raise ValueError(f"unknown balance mode {mode}")
+    return (balancing.oversample(train, label) if mode == "oversample" else train).withColumn("weight", F.lit(1.0))
+
+
+def fit(
+    kind: str, train: DataFrame, classes: Sequence[str], balance: str = "weights", **params: Any
+) -> Classifier:
+    """Fit one classifier on ``features`` and ``label``; ``balance`` as in ``balance_rows``."""
+    train = balance_rows(train, balance)
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
     if kind == "logistic_regression":
         options = dict(params)
@@ -141,12 +159,15 @@ def cross_validate(
     kind: str, folds: Folds, classes: Sequence[str], params: Mapping[str, Any]
 ) -> float | None:
     """Mean macro F1 over the folds; folds whose training part has one class are skipped."""
-    scores = []
-    for train, val in folds:
+
+    def one(fold: tuple[DataFrame, DataFrame]) -> float | None:
+        train, val = fold
         if train.select("label").distinct().count() < 2 or val.isEmpty():
-            continue
+            return None
         model = fit(kind, train, classes, **params)
-        scores.append(metrics.macro_f1(model.predict(val), "_class", "pred"))
+        return metrics.macro_f1(model.predict(val), "_class", "pred")
+
+    scores = [s for s in in_parallel(one, folds) if s is not None]
     return sum(scores) / len(scores) if scores else None
 
 

@@ -51,14 +51,9 @@ def impute(df: DataFrame, values: Mapping[str, float | None]) -> DataFrame:
     ])
 
 
-MAX_CATEGORIES = 1000
-
-
 def categories(train: DataFrame, col: str) -> list[str]:
-    """Sorted training categories; refuses columns that are no categories."""
-    rows = train.select(F.coalesce(F.col(col), F.lit("Unknown"))).distinct().limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"{col} has more than {MAX_CATEGORIES} categories")
+    """Sorted training categories; for columns of a closed list of values such as the lifecycle stage."""
+    rows = train.select(F.coalesce(F.col(col), F.lit("Unknown"))).distinct().collect()
     return sorted(r[0] for r in rows)
 
 

@@ -98,18 +98,43 @@ def per_product_split(
     return marked.where(~F.col("_test")).drop("_test"), marked.where("_test").drop("_test")
 
 
+STRATUM_BUCKETS = 4096
+
+
+def class_ranks(df: DataFrame, label: str, keys: Sequence[str], salt: str) -> DataFrame:
+    """Add ``_rank`` (1 .. n of the row's class in hash order, ties by the keys) and ``_n``.
+
+    Rows are ranked inside hash buckets, buckets by their totals, so no class is ordered in one task.
+    """
+    width = 2**32 // STRATUM_BUCKETS
+    placed = df.withColumn("_h", row_hash(keys, salt)).withColumn("_bucket", F.floor(F.col("_h") / width))
+    totals = placed.groupBy(F.col(label).alias("_of"), F.col("_bucket").alias("_in")).agg(F.count("*").alias("_m"))
+    whole = Window.partitionBy("_of")
+    before = whole.orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "_of", "_in", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"), F.sum("_m").over(whole).alias("_n")
+    )
+    inside = Window.partitionBy(label, "_bucket").orderBy("_h", *keys)
+    ranked = placed.withColumn("_place", F.row_number().over(inside))
+    joined = ranked.join(offsets, F.col(label).eqNullSafe(F.col("_of")) & (F.col("_bucket") == F.col("_in")))
+    return joined.select(*df.columns, (F.col("_before") + F.col("_place")).alias("_rank"), "_n")
+
+
 def stratified_split(
     df: DataFrame, label: str, keys: Sequence[str], frac: float = 0.2
 ) -> tuple[DataFrame, DataFrame]:
-    """(rest, held out): the same share of every class by hash order.
-
-    The cut is a hash quantile per class, so no class is ordered in one task: with hashes in
-    [0, 2^32) the share is exact up to sampling noise.
-    """
-    marked = df.withColumn("_held", row_hash(keys, "split") < int(frac * 2**32))
+    """(rest, held out): of every class the first ``frac`` of its rows, rounded half up, in hash order."""
+    ranked = class_ranks(df, label, keys, "split")
+    marked = ranked.withColumn("_held", F.col("_rank") <= F.floor(F.col("_n") * frac + 0.5)).drop("_rank", "_n")
     return marked.where(~F.col("_held")).drop("_held"), marked.where("_held").drop("_held")
 
 
+def stratified_folds(df: DataFrame, label: str, keys: Sequence[str], k: int = 5) -> DataFrame:
+    """Add ``_fold``: rows of a class are dealt to the folds in turn, in hash order."""
+    ranked = class_ranks(df, label, keys, "fold")
+    return ranked.withColumn("_fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_n")
+
+
 def fold_column(keys: Sequence[str], k: int = 5) -> Column:
     """Fold number of a row from the hash of its key."""
     return (row_hash(keys, "fold") % k).cast("int")
@@ -118,7 +143,7 @@ def fold_column(keys: Sequence[str], k: int = 5) -> Column:
 def seen_labels(test: DataFrame, train: DataFrame, label: str) -> DataFrame:
     """Test rows whose class occurs in the training rows."""
     known = train.select(label).where(F.col(label).isNotNull()).distinct()
-    return test.join(F.broadcast(known), label, "left_semi")  # one row per class
+    return test.join(known, label, "left_semi")
 
 
 def needs_fallback(train: DataFrame, label: str, minimum: int = 10) -> bool:

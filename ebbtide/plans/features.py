@@ -298,9 +298,15 @@ def _(t: Tables):
 _KEY_SQL = "\"StockCode\" || '|' || strftime(month, '%Y-%m-%d')"
 
 
+def _class_rank_sql(salt: str) -> str:
+    hashed = sql_bucket(_KEY_SQL + f" || '{salt}'", 4294967296)
+    return f'row_number() OVER (PARTITION BY fatigue_label ORDER BY {hashed}, "StockCode", month)'
+
+
 @query("i6_stratified_split", f"""
 SELECT "StockCode", strftime(month, '%Y-%m-%d') AS month,
-  CASE WHEN {sql_bucket(_KEY_SQL + " || 'split'", 4294967296)} < floor(0.2::DOUBLE * 4294967296) THEN 'test' ELSE 'train' END AS role
+  CASE WHEN {_class_rank_sql("split")} <= floor(count(*) OVER (PARTITION BY fatigue_label) * 0.2::DOUBLE + 0.5)
+    THEN 'test' ELSE 'train' END AS role
 FROM brand_sales_panel""")
 def _(t: Tables):
     df = t.labelled("sales", "brand").select("StockCode", "month", "fatigue_label")
@@ -309,11 +315,14 @@ def _(t: Tables):
 
 
 @query("i7_fold_numbers", f"""
-SELECT {sql_bucket(_KEY_SQL + " || 'fold'", 4294967296)} % 5 AS fold, fatigue_label, count(*) AS n_rows
-FROM brand_sales_panel GROUP BY ALL""")
+SELECT fold, fatigue_label, count(*) AS n_rows, count(DISTINCT "StockCode") AS n_products
+FROM (SELECT *, ({_class_rank_sql("fold")} - 1) % 5 AS fold FROM brand_sales_panel) GROUP BY ALL""")
 def _(t: Tables):
-    df = t.labelled("sales", "brand").withColumn("fold", splits.fold_column(["StockCode", "month"], 5))
-    return portable(df.groupBy("fold", "fatigue_label").agg(F.count("*").alias("n_rows")))
+    df = t.labelled("sales", "brand").select("StockCode", "month", "fatigue_label")
+    df = splits.stratified_folds(df, "fatigue_label", ["StockCode", "month"], 5)
+    return portable(df.groupBy(F.col("_fold").cast("long").alias("fold"), "fatigue_label").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("StockCode").alias("n_products")
+    ))
 
 
 @query("f15_labels_seen_in_training", """

@@ -45,9 +45,11 @@ def prepared(t: Tables, binary: bool = True) -> prep.Prepared:
     return kept(t, f"prepared-{binary}", make)
 
 
-def folds(t: Tables, k: int = 3):
-    train = prepared(t).train
-    return models.hash_folds(train, splits.fold_column(["_id", "_period"], k), k)
+def folds(t: Tables, k: int = 5):
+    def make() -> DataFrame:
+        return cut_lineage(splits.stratified_folds(prepared(t).train, "label", ["_id", "_period"], k))
+
+    return models.hash_folds(kept(t, f"folds-{k}", make), F.col("_fold"), k)
 
 
 def forest(t: Tables) -> models.Classifier:
@@ -94,13 +96,13 @@ def _(t: Tables):
 
 @query("m4_kmeans_by_silhouette")
 def _(t: Tables):
-    return portable(models.cluster(prepared(t).train, (2, 3, 4))[1])
+    return portable(models.cluster(prepared(t).train)[1])
 
 
 @query("m5_train_all_models")
 def _(t: Tables):
     p = prepared(t)
-    _, table = kept(t, "all", lambda: models.train_all(p.train, p.test, p.classes, folds(t, 2), CHOICES))
+    _, table = kept(t, "all", lambda: models.train_all(p.train, p.test, p.classes, folds(t), CHOICES))
     return portable(table)
 
 
@@ -112,11 +114,11 @@ def _(t: Tables):
 @query("m6_walk_forward_search")
 def _(t: Tables):
     p = prepared(t)
-    parts = list(splits.walk_forward(p.train, "_period", min_train=24, val_periods=20))[::12]
-    rows = [
-        (i, models.cross_validate("logistic_regression", [part], p.classes, {"C": 1.0}))
-        for i, part in enumerate(parts)
-    ]
+    parts = list(splits.walk_forward(p.train, "_period", min_train=6, val_periods=1))
+    scores = models.in_parallel(
+        lambda part: models.cross_validate("logistic_regression", [part], p.classes, {"C": 1.0}), parts
+    )
+    rows = list(enumerate(scores))
     return portable(t.spark.createDataFrame(rows, "fold int, f1_macro double"))
 
 
@@ -128,7 +130,7 @@ def _(t: Tables):
 @query("m8_cluster_projection")
 def _(t: Tables):
     p = prepared(t)
-    model, _table = kept(t, "clusters", lambda: models.cluster(p.train, (2, 3)))
+    model, _table = kept(t, "clusters", lambda: models.cluster(p.train))
     out = models.project_clusters(model, p.train, p.test)
     return portable(out.select(F.col("_id").alias("product"), F.col("_period").alias("month"), "cluster", "pc1", "pc2"))
 
@@ -193,8 +195,8 @@ def branch(t: Tables, source: str) -> prep.Prepared:
 def out_of_fold(t: Tables, source: str) -> DataFrame:
     def make() -> DataFrame:
         p = branch(t, source)
-        fold = splits.fold_column(["_id", "_period"], 3)
-        return cut_lineage(models.out_of_fold("random_forest", p.train, p.classes, fold, 3, numTrees=10, maxDepth=5))
+        train = cut_lineage(splits.stratified_folds(p.train, "label", ["_id", "_period"], 5))
+        return cut_lineage(models.out_of_fold("random_forest", train, p.classes, F.col("_fold"), 5, numTrees=10, maxDepth=5))
 
     return kept(t, f"oof-{source}", make)
 
@@ -214,7 +216,7 @@ def fusion_table(t: Tables) -> DataFrame:
 def fused(t: Tables) -> fusion.FusionModel:
     return kept(t, "fused", lambda: fusion.train_fusion(
         fusion_table(t), ("reviews", "sales"), specs.BINARY_CLASSES, specs.BINARY_CLASSES,
-        splits.fold_column(["key"], 3), 3, BOOSTED,
+        splits.fold_column(["key"], 5), 5, BOOSTED,
     ))
 
 
@@ -253,7 +255,7 @@ def scorer(t: Tables) -> batch.Scorer:
             adjusted, F.col("_class") == specs.FATIGUED,
             F.get("calibrated", F.lit(list(p.classes).index(specs.FATIGUED))),
         )).collect()[0]
-        clusters, _table = models.cluster(p.train, (2, 3))
+        clusters, _table = models.cluster(p.train)
         return batch.Scorer("sales", p, model, cal, clusters, float(best["threshold"]))
 
     return kept(t, "scorer", make)
@@ -363,7 +365,7 @@ def _(t: Tables):
 
 @query("r11_ablation_run")
 def _(t: Tables):
-    return portable(audit.run_ablations(prepared(t), "sales", "logistic_regression", C=1.0, maxIter=50))
+    return portable(audit.run_ablations(prepared(t), "sales", "logistic_regression", C=1.0))
 
 
 @query("r8_audit_verdict")
@@ -375,7 +377,7 @@ def _(t: Tables):
     )
     key = F.concat_ws("|", "_id", F.col("_period").cast("string"))
     stability = audit.bootstrap(scored(t), key, 10, "_class", "pred").select("stability").scalar()
-    _, table = kept(t, "all", lambda: models.train_all(p.train, p.test, p.classes, folds(t, 2), CHOICES))
+    _, table = kept(t, "all", lambda: models.train_all(p.train, p.test, p.classes, folds(t), CHOICES))
     return portable(audit.verdict(probe, metrics.performance_status(table), stability))
 
 

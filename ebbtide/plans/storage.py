@@ -139,11 +139,11 @@ def _(t: Tables):
     return portable(readers.read_features(t.spark, base, schema), digits=4)
 
 
-@query("s8_partitioned_feature_layer", _LAYER_SQL + " WHERE month >= DATE '1999-01-01'")
+@query("s8_partitioned_feature_layer", _LAYER_SQL)
 def _(t: Tables):
     base = scratch_path(t.spark, "features")
     sinks.write_features(t.labelled("sales", "brand").select(*_LAYER), base)
-    df = readers.read_features(t.spark, base).where(F.col("month") >= F.lit("1999-01-01").cast("date"))
+    df = readers.read_features(t.spark, base)
     return portable(df.select(*_LAYER), digits=4)
 
 
@@ -276,7 +276,7 @@ SELECT event_type, count(*) AS n_rows, sum(product_id)::BIGINT AS product_total
 def _(t: Tables):
     from ebbtide.streaming import ingest
 
-    path = usage_csv(t, t.usage_log().repartition(8), "stream-in")
+    path = usage_csv(t, t.usage_log(), "stream-in")
     target = scratch_path(t.spark, "stream-out")
     wide = T.StructType([
         T.StructField(f.name, T.DoubleType() if f.name == "price" else f.dataType) for f in readers.USAGE_SCHEMA

@@ -31,9 +31,9 @@ def write_panel(panel: DataFrame, folder: str, source: str) -> str:
 
 
 def write_features(df: DataFrame, base: str, partition: str = "month") -> str:
-    """A Parquet feature layer partitioned by period, one file set per period."""
+    """A Parquet feature layer partitioned by period; a large period is split over several tasks and files."""
     path = f"{base}.parquet"
-    df.repartition(partition).write.mode("overwrite").partitionBy(partition).parquet(path)
+    df.hint("rebalance", F.col(partition)).write.mode("overwrite").partitionBy(partition).parquet(path)
     return path
 
 
