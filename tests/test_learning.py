@@ -232,6 +232,29 @@ def test_oversampling_balances_and_interpolates(training, monkeypatch):
     assert (made.min(axis=0) >= real.min(axis=0) - 1e-9).all() and (made.max(axis=0) <= real.max(axis=0) + 1e-9).all()
 
 
+def test_balance_modes(training):
+    plain = models.balance_rows(training, "none")
+    assert plain.count() == 600 and {r[0] for r in plain.select("weight").distinct().collect()} == {1.0}
+    weighted = models.balance_rows(training, "weights").groupBy("label").agg(F.sum("weight").alias("w")).collect()
+    assert {round(r["w"]) for r in weighted} == {300}
+    assert models.balance_rows(training, "oversample").count() > 900
+    with pytest.raises(ValueError):
+        models.balance_rows(training, "other")
+
+
+def test_stratified_parts_hold_every_class(spark):
+    rows = [(f"p{i}", i % 7, "rare" if i % 50 == 0 else "usual" if i % 3 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "p string, m int, y string")
+    rest, held = splits.stratified_split(df, "y", ["p", "m"], 0.2)
+    assert rest.count() + held.count() == 500
+    whole = {r["y"]: r["count"] for r in df.groupBy("y").count().collect()}
+    assert {r["y"]: r["count"] for r in held.groupBy("y").count().collect()} == {y: int(n * 0.2 + 0.5) for y, n in whole.items()}
+    folds = splits.stratified_folds(df, "y", ["p", "m"], 5).groupBy("y", "_fold").count().collect()
+    for y, n in whole.items():
+        sizes = [r["count"] for r in folds if r["y"] == y]
+        assert len(sizes) == 5 and sum(sizes) == n and max(sizes) - min(sizes) <= 1
+
+
 @pytest.mark.parametrize("kind,params", [
     ("logistic_regression", {"C": 1.0}), ("random_forest", {"numTrees": 5, "maxDepth": 4}),
     ("boosted_trees", {"maxIter": 3, "maxDepth": 2}),
@@ -289,6 +312,7 @@ def test_ablation_names():
     found = {n: r for n, r, _, _ in audit.ablations("reviews", names)}
     assert len(found) >= 3 and found["no_sentiment"] == ["sentiment_mean", "sentiment_std"]
     assert found["no_product_age"] == ["product_age_months"]
+    assert [n for n, _, sampled, _ in audit.ablations("reviews", names) if not sampled] == ["no_smote"]
 
 
 @pytest.fixture(scope="module")
