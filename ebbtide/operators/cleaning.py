@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ebbtide import specs
 from ebbtide.operators.quantiles import quantile_values
+from ebbtide.session import stored
 
 
 def drop_missing_text(reviews: DataFrame, col: str = "Text") -> DataFrame:
@@ -59,8 +60,12 @@ def below_quantile(df: DataFrame, col: str, p: float = 0.999) -> DataFrame:
 
 
 def clean_sales(sales: DataFrame, p: float = 0.999) -> DataFrame:
-    """Valid sales, cut at the quantity quantile and then at the price quantile of what is left."""
-    return below_quantile(below_quantile(valid_sales(sales), "Quantity", p), "Price", p)
+    """Valid sales, cut at the quantity quantile and then at the price quantile of what is left.
+
+    The valid rows are stored once: both quantiles and the result read them instead of the joined log.
+    """
+    valid = stored(valid_sales(sales), "valid-sales")
+    return below_quantile(below_quantile(valid, "Quantity", p), "Price", p)
 
 
 def valid_events(events: DataFrame) -> DataFrame:

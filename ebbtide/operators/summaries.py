@@ -246,13 +246,13 @@ def histogram(df: DataFrame, col: str, bins: int, log_scale: bool = False) -> Da
     return values.groupBy(index.cast("bigint").alias("bin")).agg(F.count("*").alias("n_rows"))
 
 
-def five_numbers(df: DataFrame, col: str, by: str) -> DataFrame:
-    """Minimum, quartiles and maximum per group."""
-    asks = [
-        (col, 0.0, "minimum"), (col, 0.25, "q1"), (col, 0.5, "median"), (col, 0.75, "q3"),
-        (col, 1.0, "maximum"),
-    ]
-    return quantile_frame(df, asks, [by])
+NUMBERS = (("minimum", 0.0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("maximum", 1.0))
+
+
+def five_numbers(df: DataFrame, cols: Sequence[str], by: str) -> dict[str, DataFrame]:
+    """Minimum, quartiles and maximum per group of each column, all found in the same scans."""
+    wide = quantile_frame(df, [(c, p, f"{c}_{name}") for c in cols for name, p in NUMBERS], [by])
+    return {c: wide.select(by, *[F.col(f"{c}_{name}").alias(name) for name, _ in NUMBERS]) for c in cols}
 
 
 def declining_products(panel: DataFrame, spec: specs.SourceSpec, k: int = 10) -> DataFrame:

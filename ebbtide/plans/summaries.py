@@ -13,6 +13,7 @@ from ebbtide.operators import cleaning, prep, summaries
 from ebbtide.plans.base import Tables, fragment, query, r6
 from ebbtide.plans.panels import FULL
 from ebbtide.plans.shape import names, portable
+from ebbtide.session import stored
 
 SOURCE_NAMES = ("reviews", "sales", "usage")
 
@@ -267,13 +268,16 @@ _BOXES = (
     + f", {r6(f'max({c})')} AS maximum FROM {s}_panel GROUP BY {by}" for s, c, by in _BOXES
 ))
 def _(t: Tables):
-    panels = {s: t.labelled(s) for s in SOURCE_NAMES}
-    return portable(union(
-        summaries.five_numbers(panels[s], c, by).withColumnRenamed(by, "grp").select(
-            F.lit(s).alias("source"), F.lit(c).alias("metric"), "*"
-        )
-        for s, c, by in _BOXES
-    ))
+    parts = []
+    for s in SOURCE_NAMES:
+        boxes = [(c, by) for name, c, by in _BOXES if name == s]
+        panel = stored(t.labelled(s).select(*dict.fromkeys(x for box in boxes for x in box)), f"boxes-{s}")
+        for by in dict.fromkeys(by for _, by in boxes):
+            parts += [
+                numbers.withColumnRenamed(by, "grp").select(F.lit(s).alias("source"), F.lit(c).alias("metric"), "*")
+                for c, numbers in summaries.five_numbers(panel, [c for c, own in boxes if own == by], by).items()
+            ]
+    return portable(union(parts))
 
 
 @query("a21_class_counts", """
