@@ -40,6 +40,7 @@ PURE = 0.8
 GRADES = 3
 EDGE = ".,;:!?\"'()[]{}<>*_-`~|/\\#$%&+="
 KNOWN = 400_000
+BATCH_DOCS = 512
 
 
 def token_features(word: str) -> list[int]:
@@ -112,12 +113,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            words = [set((t or "").split()) for t in batch["text"]]
-            found = [np.unique([f for w in own for f in token_features(w)], return_counts=True) for own in words]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "y": batch["y"].astype("int32"),
-                "f": [f.astype("int64") for f, _ in found], "c": [c.astype("int32") for _, c in found],
-            })
+            for start in range(0, len(batch), BATCH_DOCS):
+                part = batch.iloc[start : start + BATCH_DOCS]
+                found = [
+                    np.unique([f for w in set((t or "").split()) for f in token_features(w)], return_counts=True)
+                    for t in part["text"]
+                ]
+                yield pd.DataFrame({
+                    "doc_id": part["doc_id"].to_numpy(), "y": part["y"].to_numpy(dtype="int32"),
+                    "f": [f.astype("int64") for f, _ in found], "c": [c.astype("int32") for _, c in found],
+                })
 
     rows = stored(read.mapInPandas(held, "doc_id long, y int, f array<bigint>, c array<int>").dropDuplicates(["doc_id"]), "toxicity-sample")
     totals = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("y") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
