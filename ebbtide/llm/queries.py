@@ -185,3 +185,64 @@ def with_paths(docs: DataFrame) -> DataFrame:
 @query("op8_license_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(with_paths(table(spark, sf_dir, "documents")))
+
+
+def _licence_sql() -> str:
+    rows, k = [], 0
+    for name, notices in sorted(licenses.TEMPLATES.items()):
+        for notice in notices:
+            rows += [f"({k}, '{name}', '{term}', {n})" for term, n in sorted(licenses.template_terms(notice).items())]
+            k += 1
+    return f"""
+WITH notices(k, license, term, c) AS (VALUES {", ".join(rows)}), docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source,
+    CASE WHEN doc_id % 3 > 0 THEN lang END, CASE WHEN doc_id % 3 = 2 THEN (doc_id // 100)::VARCHAR END,
+    CASE WHEN doc_id % 7 = 0 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END) AS path
+  FROM documents
+), lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM docs
+), words AS (
+  SELECT doc_id, line, unnest(regexp_extract_all(lower(l), '[a-z0-9]+')) AS term FROM lines
+), held AS (
+  SELECT term, count(DISTINCT doc_id) AS h FROM words WHERE term IN (SELECT term FROM notices) GROUP BY term
+), size AS (
+  SELECT count(*)::DOUBLE AS n FROM docs
+), idf AS (
+  SELECT term, ln((n + 1) / (coalesce(h, 0) + 1)) + 1 AS idf
+  FROM (SELECT DISTINCT term FROM notices) LEFT JOIN held USING (term), size
+), weights AS (
+  SELECT k, license, term, c * idf / sqrt(sum(c * idf * c * idf) OVER (PARTITION BY k)) AS w FROM notices JOIN idf USING (term)
+), vectors AS (
+  SELECT doc_id, line, term, count(*) * coalesce(any_value(idf), any_value(ln(n + 1) + 1)) AS weight
+  FROM words LEFT JOIN idf USING (term), size GROUP BY doc_id, line, term
+), norms AS (
+  SELECT doc_id, line, sqrt(sum(weight * weight)) AS norm FROM vectors GROUP BY doc_id, line
+), likeness AS (
+  SELECT doc_id, line, license, round(sum(weight * w) / any_value(norm), 9) AS similarity
+  FROM vectors JOIN weights USING (term) JOIN norms USING (doc_id, line) GROUP BY doc_id, line, k, license
+), own AS (
+  SELECT * FROM likeness WHERE similarity >= {licenses.LEAST}
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, line, license) = 1
+), placed AS (
+  SELECT docs.doc_id, path, license, similarity, line,
+    regexp_replace(regexp_replace(path, '[^/]*$', ''), '/$', '') AS dir
+  FROM docs LEFT JOIN own USING (doc_id)
+), stated AS (
+  SELECT dir AS above, license AS stated FROM placed
+  WHERE license IS NOT NULL AND regexp_matches(path, '{licenses.FILE_NAME}') GROUP BY dir, license
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY count(*) DESC, license) = 1
+), resolved AS (
+  SELECT dir, above, stated FROM (
+    SELECT dir, unnest(list_transform(range(1, len(string_split(dir, '/')) + 1),
+      lambda d: array_to_string(string_split(dir, '/')[1:d], '/'))) AS above
+    FROM (SELECT DISTINCT dir FROM placed)
+  ) JOIN stated USING (above) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(above) DESC) = 1
+)
+SELECT doc_id, path, coalesce(license, stated) AS license,
+  CASE WHEN license IS NOT NULL THEN 'header' WHEN stated IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN license IS NULL THEN above END AS from_dir, round(similarity, 6) AS similarity, line::BIGINT AS line
+FROM placed LEFT JOIN resolved USING (dir)
+"""
+
+
+ORACLES["op8_license_scan"] = _licence_sql()
