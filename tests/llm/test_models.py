@@ -257,3 +257,16 @@ def test_pipeline_stages_take_effect(spark, tables):
     assert max(r["bin_words"] for r in packed) <= packing.CAPACITY
     run = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert run.count() > 0
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, docs, none):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).collect() == [], name
+        out = stage(spark, docs, SF)
+        assert out.count() > 0
+        if name != "packing":
+            assert out.columns == docs.columns, name
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert kept.filter("doc_id is null").count() == 2
