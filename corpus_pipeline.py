@@ -29,7 +29,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Documents without an id take no part and stay.
     """
-    members, _ = jaccard_join.similar_documents(docs, width=5, num=4, den=5)
+    members, _ = jaccard_join.similar_documents(docs, width=5, num=4, den=5, every=False)
     return without(docs, members.filter("component_id <> doc_id").select("doc_id"))
 
 

@@ -10,10 +10,11 @@
 4. The filter of order two (by seeded hash) runs on longer prefixes, of which two sets must share more than one
    shingle. Only these prefixes are shuffled; sets without a partner in their group drop out.
 5. Whole sets of what is left meet in the same units. Candidates must share prefix shingles under order one *and*
-   two *and* three; the filters are intersected and what remains is verified. Sets that verified links already
-   connect are not compared again, so a unit gives at most one link less than it has sets, whatever the number
-   of similar pairs.
-6. Components of the links, by least document id.
+   two *and* three; the filters are intersected and every pair that remains is verified, in the unit of the least
+   group that both are in: no pair is lost and none is verified twice. Their number is that of the similar pairs,
+   which grows with the square of a group of near copies. Where only components are asked for, sets that verified
+   links already connect are not compared again.
+6. Components of the links that join what was apart inside a unit, by least document id.
 
 Bitmaps of ``BITS`` bits over the ids that are still needed, of fixed size too, keep the others out of the
 shuffles of steps 4 and 5. Words and shingles are hashed from the bytes of an Arrow batch by numpy, a bounded
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import count_below, stored, text_of
@@ -295,8 +296,13 @@ def _meets(prefixes: list[np.ndarray]) -> np.ndarray:
     return matrix
 
 
-def unit_links(sets: list[np.ndarray], threshold: Threshold, held: np.ndarray, allowed: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect all linked sets of a unit; pairs outside ``allowed`` are other units' work."""
+def unit_pairs(
+    sets: list[np.ndarray], threshold: Threshold, held: np.ndarray, allowed: np.ndarray | None = None, every: bool = True
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Sets of a unit with the later ones that link with them, and which of these links connect what was apart.
+
+    Pairs outside ``allowed`` are other units' work. Without ``every``, only links that connect are looked for.
+    """
     n = len(sets)
     size = np.array([len(s) for s in sets], dtype=np.int64)
     prefix = threshold.home(size).tolist()
@@ -306,16 +312,15 @@ def unit_links(sets: list[np.ndarray], threshold: Threshold, held: np.ndarray, a
     candidate &= _meets([rare_first(s, held, k) for s, k in zip(sets, prefix, strict=True)])
     for seed in SEEDS:
         if not candidate.any():
-            return []
+            return
         candidate &= _meets([seeded_first(s, seed, k) for s, k in zip(sets, prefix, strict=True)])
     root = np.arange(n)
-    links = []
     token = np.concatenate(sets)
     local = np.unique(token, return_inverse=True)[1] if n > 8 else None
     ends = np.cumsum(size)
     flag = np.zeros(local.max() + 1, dtype=np.int8) if local is not None else None
     for x in range(n):
-        others = np.flatnonzero(candidate[x] & (root != root[x]))
+        others = np.flatnonzero(candidate[x] if every else candidate[x] & (root != root[x]))
         if not len(others):
             continue
         if local is None:
@@ -323,24 +328,37 @@ def unit_links(sets: list[np.ndarray], threshold: Threshold, held: np.ndarray, a
         else:
             own = local[ends[x] - size[x] : ends[x]]
             flag[own] = 1
-            common = np.array([int(flag[local[ends[y] - size[y] : ends[y]]].sum(dtype=np.int64)) for y in others])
+            if 4 * size[others].sum() > len(token):  # most of the unit: all sets at once
+                common = np.add.reduceat(flag[local], ends - size, dtype=np.int64)[others]
+            else:
+                common = np.array([int(flag[local[ends[y] - size[y] : ends[y]]].sum(dtype=np.int64)) for y in others])
             flag[own] = 0
-        for y in others[threshold.linked(common, size[x], size[others])]:
-            if root[y] != root[x]:
-                links.append((x, int(y)))
-                root[root == root[y]] = root[x]
-    return links
+        linked = others[threshold.linked(common, size[x], size[others])]
+        connects = root[linked] != root[x]
+        for k in np.flatnonzero(connects):
+            connects[k] = root[linked[k]] != root[x]
+            if connects[k]:
+                root[root == root[linked[k]]] = root[x]
+        if not every:
+            linked, connects = linked[connects], connects[connects]
+        yield x, linked, connects
+
+
+def unit_links(sets: list[np.ndarray], threshold: Threshold, held: np.ndarray, allowed: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect all linked sets of a unit; pairs outside ``allowed`` are other units' work."""
+    return [(x, int(y)) for x, linked, _ in unit_pairs(sets, threshold, held, allowed, every=False) for y in linked]
 
 
-def _units(threshold: Threshold, held: np.ndarray | None = None):
+def _units(threshold: Threshold, held: np.ndarray | None = None, every: bool = True):
     """Works on the units (grp, i, j) that a sorted partition holds one after another.
 
     Gives links, or with no ``held`` the sets that have a partner under order two as (u = group, v = set).
     """
     bands = threshold.bands()
 
-    def found_in(rows: list[tuple]) -> list[tuple[int, int]]:
+    def found_in(rows: list[tuple]) -> pa.RecordBatch:
         sets = [np.frombuffer(r[2], dtype=np.uint64) for r in rows]
+        ids = np.array([r[0] for r in rows], dtype=np.int64)
         size, block = np.array([r[7] for r in rows]), np.array([r[1] for r in rows])
         grp, i, j, band = rows[0][3:7]
         at_home = np.array([bisect_right(bands, n) == band for n in size.tolist()])
@@ -348,31 +366,34 @@ def _units(threshold: Threshold, held: np.ndarray | None = None):
         if i != j:
             allowed &= np.not_equal.outer(block, block)
         if held is None:
-            return [(grp, rows[k][0]) for k in np.flatnonzero(partnered(sets, size, threshold, allowed))]
-        return [(rows[a][0], rows[b][0]) for a, b in unit_links(sets, threshold, held, allowed)]
+            kept = ids[partnered(sets, size, threshold, allowed)]
+            return _links(np.full(len(kept), grp), kept, np.ones(len(kept), dtype=bool))
+        if every:  # pairs of a lesser group's sets are verified there
+            allowed &= ~_meets([np.array(r[8], dtype=np.int64) for r in rows]) & np.not_equal.outer(ids, ids)
+        found = [(np.full(len(y), x), y, c) for x, y, c in unit_pairs(sets, threshold, held, allowed, every)]
+        if not found:
+            return _links()
+        x, y, connects = map(np.concatenate, zip(*found, strict=True))
+        return _links(np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), connects)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, rows, found = None, [], []
+        unit, rows = None, []
         for batch in _slices(it, BATCH_SETS):
             columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
             for row in zip(*columns, strict=True):
                 if row[3:6] != unit:
                     if len(rows) > 1:
-                        found += found_in(rows)
+                        yield found_in(rows)
                     unit, rows = row[3:6], []
                 rows.append(row)
-            yield _links(found)
-            found = []
         if len(rows) > 1:
-            found += found_in(rows)
-        yield _links(found)
+            yield found_in(rows)
 
     return run
 
 
-def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    u, v = zip(*found, strict=True) if found else ((), ())
-    return pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+def _links(u=(), v=(), connects=()) -> pa.RecordBatch:
+    return pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "connects": pa.array(connects, pa.bool_())})
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -386,11 +407,14 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def similar_documents(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(members, links): doc_id, n_shingles, component_id of each document, and the links between nodes.
+def similar_documents(
+    docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, every: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """(members, links): doc_id, n_shingles, component_id, node of each document, and all links between nodes.
 
-    Documents link when their sets' Jaccard similarity is at least ``num / den``. ``links`` (u, v) connects the
-    least documents of different equal sets and holds enough verified links for the components, not all.
+    Documents link when their sets' Jaccard similarity is at least ``num / den``. A node is the least document of
+    those with equal sets (null for empty sets). ``links`` (u, v), u < v, holds every pair of nodes that link;
+    without ``every`` only as many as the components need.
     """
     threshold = Threshold(num, den)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text"))
@@ -424,23 +448,45 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 4, den: int =
             F.count("*").alias("n"),
         ).filter("n > 1").join(members.select(F.col("doc_id").alias("grp"), F.col("n_shingles").alias("home_size")).distinct(), "grp")
         dealt = groups.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).select(
-            "grp", "doc_id", "block", count_below(threshold.bands(), F.col("home_size"), including=True).alias("band"),
-            F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"),
+            "grp", "doc_id", "block", "blocks", count_below(threshold.bands(), F.col("home_size"), including=True).alias("band"),
         )
+        if prefix_of is None and every:
+            same_band = F.collect_set("grp").over(Window.partitionBy("doc_id", "band"))
+            dealt = dealt.withColumn("lesser", F.filter(same_band, lambda g: g < F.col("grp")))
+        else:
+            dealt = dealt.withColumn("lesser", F.lit(None).cast("array<bigint>"))
+        dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         sets = hashed.mapInArrow(_sets(width, _bitmap(groups), prefix_of), "doc_id long, size long, tokens binary")
         units = dealt.join(sets, "doc_id").select(
-            "doc_id", "block", "tokens", "grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "size"
+            "doc_id", "block", "tokens", "grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "size",
+            "lesser",
         )
-        return units.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(work, "u long, v long").distinct()
+        found = units.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(work, "u long, v long, connects boolean")
+        return found.groupBy("u", "v").agg(F.max("connects").alias("connects"))
 
     paired = in_units(grouped, threshold, _units(threshold)).select(F.col("u").alias("grp"), F.col("v").alias("doc_id"))
     paired = stored(paired, "partnered")
-    links = stored(in_units(paired, None, _units(threshold, held)), "links")
-    named = components(links)
-    labelled = nodes.join(named, F.col("doc_id") == F.col("node"), "left").select(
-        "set_key", F.coalesce("component", "doc_id").alias("component_id")
+    links = stored(in_units(paired, None, _units(threshold, held, every)), "links")
+    named = components(links.filter("connects").select("u", "v"))
+    labelled = nodes.withColumnRenamed("doc_id", "of_set").join(named, F.col("of_set") == F.col("node"), "left").select(
+        "set_key", F.coalesce("component", "of_set").alias("component_id"), F.col("of_set").alias("node")
     )
     result = members.join(labelled, "set_key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node"
+    )
+    return result, links.select("u", "v")
+
+
+def link_counts(members: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id and n_links: the other documents that a document links with, those of an equal set among them."""
+    sizes = members.filter("node is not null and doc_id is not null").groupBy("node").agg(F.count_distinct("doc_id").alias("n"))
+    both = links.select(F.col("u").alias("of"), F.col("v").alias("node")).union(
+        links.select(F.col("v").alias("of"), F.col("u").alias("node"))
+    )
+    others = both.join(sizes, "node").groupBy("of").agg(F.sum("n").alias("linked"))
+    counts = sizes.join(others, F.col("node") == F.col("of"), "left").select(
+        "node", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
+    )
+    return members.join(counts, "node", "left").select(
+        "doc_id", F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links")
     )
-    return result, links

@@ -61,7 +61,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_ngram_jaccard_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = jaccard_join.similar_documents(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
-    return members
+    return members.select("doc_id", "n_shingles", "component_id")
 
 
 #: Exact for words of any length: shingles are joined with a separator that no word holds.
@@ -100,6 +100,24 @@ FROM keyed LEFT JOIN nodes ON keyed.k = nodes.k AND keyed.n > 0 LEFT JOIN named
 """
 
 
+@query("op4_ngram_jaccard_links")
+def op4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_counts(*jaccard_join.similar_documents(table(spark, sf_dir, "documents"), width=3, num=9, den=10))
+
+
+#: The pairs of op4_ngram_jaccard_join, counted for each document instead of followed.
+ORACLES["op4_ngram_jaccard_links"] = ORACLES["op4_ngram_jaccard_join"].split("), both_ways AS")[0] + """), sizes AS (
+  SELECT k, count(*) AS held FROM keyed WHERE n > 0 GROUP BY k
+), linked AS (
+  SELECT x.node, sum(held) AS linked
+  FROM (SELECT u AS node, v AS other FROM links UNION ALL SELECT v, u FROM links) x
+  JOIN nodes ON nodes.node = x.other JOIN sizes USING (k) GROUP BY x.node
+)
+SELECT keyed.doc_id, (coalesce(held - 1, 0) + coalesce(linked, 0))::BIGINT AS n_links
+FROM keyed LEFT JOIN nodes ON keyed.k = nodes.k AND keyed.n > 0 LEFT JOIN sizes ON sizes.k = nodes.k LEFT JOIN linked USING (node)
+"""
+
+
 @query("op5_source_mixing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))

@@ -77,6 +77,36 @@ def test_unit_links_need_every_order():
                 assert root[x] == root[y]
 
 
+@pytest.mark.parametrize("width,num,den", [(3, 9, 10), (5, 4, 5), (2, 1, 2)])
+def test_every_link_between_different_texts_is_returned(docs, rows, width, num, den, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 8)
+    members, links = jaccard_join.similar_documents(docs.filter("doc_id is not null"), width, num, den)
+    sets = {}
+    for r in rows:
+        words = (r[1] or "").encode().lower().split()
+        grams = {tuple(words[k : k + width]) for k in range(len(words) - width + 1)} or {tuple(words)}
+        if r[0] is not None and words:
+            sets[r[0]] = frozenset(grams)
+    first = {}
+    for k in sorted(sets):
+        first.setdefault(sets[k], k)
+    linked = {
+        (a, b) for a in sets for b in sets
+        if a < b and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])
+    }
+    nodes = set(first.values())
+    found = [tuple(r) for r in links.collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == {(a, b) for a, b in linked if {a, b} <= nodes}
+    n = {k: 0 for k in (r[0] for r in rows) if k is not None}
+    for a, b in linked:
+        n[a] += 1
+        n[b] += 1
+    counts = jaccard_join.link_counts(members, links).collect()
+    assert len(counts) == members.count()
+    assert {r["doc_id"]: r["n_links"] for r in counts} == n
+
+
 def test_bands_never_part_linkable_sizes():
     for num, den in ((9, 10), (4, 5), (1, 2)):
         bands = jaccard_join.Threshold(num, den).bands()
