@@ -63,21 +63,21 @@ class Plan:
     quotas: list[int]
 
 
-def placed_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and start: the running total of words before it in its source."""
+def placed_documents(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, ``keys`` and start: the running total of words before it in its source."""
     sized = stored(
-        docs.select("doc_id", F.col("source").cast("string").alias("source"), count_words(F.col("text")).alias("size")), "mix-sizes"
+        docs.select("doc_id", F.col("source").cast("string").alias("source"), count_words(F.col("text")).alias("size"), *keys), "mix-sizes"
     )
     buckets = max(1, sized.count() // BUCKET_DOCS)
     sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
     per_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = per_bucket.select("source", "bucket", F.coalesce(F.sum("words").over(up_to), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, 0)
     running = sized.withColumn("inside", F.sum("size").over(inside) - F.col("size")).alias("d")
     match = F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.bucket") == F.col("b.bucket"))
     return running.join(before.alias("b"), match).select(
-        "doc_id", "d.source", "size", (F.col("inside") + F.col("before")).cast("long").alias("start")
+        "doc_id", "d.source", "size", *keys, (F.col("inside") + F.col("before")).cast("long").alias("start")
     )
 
 
@@ -148,12 +148,12 @@ def with_index(placed: DataFrame, plan: Plan) -> DataFrame:
     return placed.withColumn("s", F.coalesce(position, F.lit(len(names))).cast("int"))
 
 
-def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame, Plan]:
+def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, Plan]:
     """(spans, placed, plan): spans have shard, slot, doc_id, s, start, epoch, first_word and n_words.
 
     A span is the part of a document that the block in a slot holds. (s, start) names a document with words.
     """
-    placed = stored(placed_documents(docs), "mix-places")
+    placed = stored(placed_documents(docs, keys), "mix-places")
     plan = plan_sources(placed, block)
     placed = with_index(placed, plan)
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
@@ -189,21 +189,22 @@ def mixed_sizes(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFr
 def mixed_texts(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """``docs`` as the mix takes them: a row per document and epoch, its text the words taken, in order.
 
-    A document taken whole keeps its text as it is. Documents without words are not taken. Rows that share id,
-    source and size are taken to be the same text.
+    A document taken whole keeps its text as it is. Documents without words are not taken. Every row has its own
+    place, which finds its text by a 128-bit hash of all columns; rows that are equal in all of them share a text.
     """
-    spans, placed, _ = mix(docs, block, seed)
-    rows = spans.groupBy("doc_id", "s", "start", "epoch").agg(
+    content = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    hashes = [F.xxhash64(F.lit(k), *content) for k in (1, 2)]
+    keys = ("mix_key", "mix_key_2")
+    keyed = docs.select("doc_id", "source", "text", *[h.alias(k) for h, k in zip(hashes, keys, strict=True)])
+    spans, placed, _ = mix(keyed, block, seed, keys)
+    rows = spans.groupBy("s", "start", "epoch").agg(
         F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("spans"), F.sum("n_words").alias("taken")
     )
-    rows = rows.join(placed.select("s", "start", "size", "source").filter("size > 0"), ["s", "start"]).select(
-        "doc_id", "source", "size", "spans", "taken", "epoch"
+    rows = rows.join(placed.select("s", "start", "size", *keys).filter("size > 0"), ["s", "start"]).select(
+        *keys, "size", "spans", "taken"
     )
-    whole = docs.select(F.struct("*").alias("d"), count_words(F.col("text")).alias("n"))
-    joined = whole.join(
-        rows, F.col("d.doc_id").eqNullSafe(rows["doc_id"]) & (F.col("n") == rows["size"])
-        & F.col("d.source").cast("string").eqNullSafe(rows["source"]),
-    ).select("d", "spans", (F.col("taken") == F.col("size")).alias("is_whole"))
+    texts = docs.select(F.struct("*").alias("d"), *[h.alias(k) for h, k in zip(hashes, keys, strict=True)]).dropDuplicates(list(keys))
+    joined = texts.join(rows, list(keys)).select("d", "spans", (F.col("taken") == F.col("size")).alias("is_whole"))
     cut = joined.withColumn("words", F.when(~F.col("is_whole"), words_of(F.col("d.text"))))
     spans = F.transform("spans", lambda x: F.slice(F.col("words"), (x["first_word"] + 1).cast("int"), x["n_words"].cast("int")))
     taken = cut.select("d", F.when(F.col("is_whole"), F.col("d.text")).otherwise(F.array_join(F.flatten(spans), " ")).alias("taken"))

@@ -84,6 +84,22 @@ def test_mixed_texts_hold_the_words_taken(docs, rows, none):
     assert mixing.mixed_texts(none).collect() == []
 
 
+def test_mixed_texts_take_repeated_rows_once_each(spark, docs, rows):
+    """Repeated rows, and rows without an id of one size and source, take their own words only."""
+    odd = [(None, f"{c} {c}x {c}y", "en", "s1", 7, 1, 2, "x", "y") for c in "abc"] + [rows[5]] * 4
+    every = docs.union(spark.createDataFrame(odd, docs.schema))
+    taken, found = Counter(), Counter()
+    for r in mixing.mixed_sizes(every, block=16).collect():
+        taken[r["doc_id"]] += r["taken"]
+    texts = Counter()
+    for r in mixing.mixed_texts(every, block=16).collect():
+        found[r["doc_id"]] += n_words(r["text"])
+        if r["doc_id"] is None:
+            texts.update(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
+    assert found == +taken
+    assert texts and max(texts.values()) <= 2
+
+
 def test_bins_hold_no_conflict_and_lose_nothing(docs, rows, none):
     found = packing.pack(docs, capacity=256, per_source=3, shard_pieces=40).collect()
     assert sum(r["n_words"] for r in found) == sum(n_words(r[1]) for r in rows)
