@@ -8,9 +8,9 @@ Canonical JSON has its keys in ascending order, no spaces and numbers as parsed.
 
 Defined results: a call without a result has none and isn't linked; of several results the least is taken;
 arguments that are null or no JSON object fail the check; a dependency on no known call doesn't count; calls on
-a cycle, or after one, have no level; calls without an identifier (null) link with nothing, have no
-dependencies and level 0; of repeated rows of one call the least is taken; other columns are not read; empty
-tables give an empty result. Very long texts are printed whole.
+a cycle, or after one, have no level; calls without an identifier or conversation (null) link with nothing, have
+no dependencies and level 0, and each of them gives its row; of repeated rows of one call the least is taken; other
+columns are not read; empty tables give an empty result. Very long texts are printed whole.
 """
 
 from __future__ import annotations
@@ -29,6 +29,13 @@ SCHEMAS: dict[str, dict[str, tuple[str, bool]]] = {
 KEY = ["conv_id", "call_id"]
 
 
+def one_of_each(rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """The least row of each key by ``columns``; rows with a null in the key all stay."""
+    named = F.col(key[0]).isNotNull() & F.col(key[1]).isNotNull()
+    least = rows.filter(named).groupBy(*key).agg(F.min(F.struct(*columns)).alias("m")).select(*key, "m.*")
+    return least.union(rows.filter(~named).select(*key, *columns))
+
+
 def link_results(calls: DataFrame, results: DataFrame) -> DataFrame:
     """``calls`` with ``result`` (null if there is none) and ``linked``."""
     one = results.groupBy(*KEY).agg(F.min("content").alias("result")).withColumn("linked", F.lit(True))
@@ -79,10 +86,10 @@ def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict[str
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] = SCHEMAS) -> DataFrame:
     """One row per call: conv_id, turn, call_id, name, level, linked, valid, errors and message (canonical JSON)."""
-    one = calls.groupBy(*KEY).agg(F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("c")).select(*KEY, "c.*")
+    one = one_of_each(calls, KEY, ["turn", "name", "arguments", "depends_on"])
     one = stored(one, "calls")
     linked = link_results(one, results).join(topological_levels(one), KEY, "left").withColumn(
-        "level", F.when(F.col("call_id").isNull(), 0).otherwise(F.col("level"))
+        "level", F.when(F.col("call_id").isNull() | F.col("conv_id").isNull(), 0).otherwise(F.col("level"))
     ).withColumn("parsed", F.try_parse_json("arguments"))
     checked = linked.withColumn("errors", argument_errors(F.col("name"), F.col("parsed"), schemas))
     quoted = {c: F.coalesce(_json_string(F.col(c)), F.lit("null")) for c in ("call_id", "name", "result")}
@@ -110,11 +117,9 @@ def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) of conversations: each assistant turn calls a tool on the user's words before it.
 
     The user's next turn is the result. Neighbouring turns meet by a join on (conv_id, turn). Of rows with the
-    same conversation and turn, the least by role and text is taken.
+    same conversation and turn, the least by role and text is taken; rows with a null in either are turns of their own.
     """
-    one = stored(turns.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select(
-        "conv_id", "turn", "m.role", "m.text"
-    ), "turns")
+    one = stored(one_of_each(turns, ["conv_id", "turn"], ["role", "text"]), "turns")
     asked = one.filter("role = 'user'").select(
         "conv_id", (F.col("turn") + 1).alias("turn"), F.array_join(F.slice(words_of(F.col("text")), 1, 8), " ").alias("query"),
         count_words(F.col("text")).alias("n"),

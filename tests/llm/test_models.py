@@ -270,3 +270,24 @@ def test_stages_take_odd_rows_and_empty_tables(spark, docs, none):
             assert out.columns == docs.columns, name
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
     assert kept.filter("doc_id is null").count() == 2
+
+
+def test_calls_without_a_key_keep_their_rows(spark):
+    calls = spark.createDataFrame([
+        (1, 1, None, "search", '{"query": "x", "limit": 3}', ["a"]),
+        (1, 2, None, "lookup", '{"query": "y"}', None),
+        (None, 3, "a", "search", '{"query": "z", "limit": 1}', None),
+        (None, 4, "a", "lookup", '{"query": "w"}', None),
+        (1, 5, "a", "lookup", '{"query": "v"}', None),
+        (1, 5, "a", "lookup", '{"query": "v"}', None),
+    ], "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([(1, None, "r"), (None, "a", "r"), (1, "a", "r")], "conv_id long, call_id string, content string")
+    found = sorted((r["turn"], r["name"], r["level"], r["linked"]) for r in chat.link_tool_calls(calls, results).collect())
+    assert found == [
+        (1, "search", 0, False), (2, "lookup", 0, False), (3, "search", 0, False), (4, "lookup", 0, False), (5, "lookup", 0, True)
+    ]
+    turns = spark.createDataFrame(
+        [(None, 1, "assistant", "a"), (None, 1, "assistant", "b"), (2, None, "assistant", "c"), (2, None, "assistant", "d")],
+        "conv_id long, turn long, role string, text string",
+    )
+    assert len(chat.link_tool_calls(*chat.calls_of_turns(turns)).collect()) == 4
