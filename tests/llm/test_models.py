@@ -291,3 +291,17 @@ def test_calls_without_a_key_keep_their_rows(spark):
         "conv_id long, turn long, role string, text string",
     )
     assert len(chat.link_tool_calls(*chat.calls_of_turns(turns)).collect()) == 4
+
+
+def test_a_licence_at_the_root_speaks_for_the_whole_tree(spark):
+    notice = "Released under the MIT License."
+    docs = spark.createDataFrame(
+        [(1, "LICENSE", notice), (2, "x.txt", "plain"), (3, "a/b/y.txt", "plain"), (4, "c/LICENSE", "Licensed under CC BY 4.0."),
+         (5, "c/d/z.txt", "plain"), (6, None, "plain")],
+        "doc_id long, path string, text string",
+    )
+    found = {r["doc_id"]: (r["license"], r["origin"], r["from_dir"]) for r in licenses.licenses(docs).collect()}
+    assert found == {
+        1: ("MIT", "header", None), 2: ("MIT", "inherited", ""), 3: ("MIT", "inherited", ""), 4: ("CC-BY-4.0", "header", None),
+        5: ("CC-BY-4.0", "inherited", "c"), 6: (None, "none", None),
+    }
