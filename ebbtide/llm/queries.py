@@ -11,13 +11,16 @@ from ebbtide.llm import (
     chat,
     fingerprints,
     jaccard_join,
+    lexical_search,
     licenses,
     mixing,
     packing,
     quality,
     quality_rules,
+    slack_packing,
     token_counts,
     toxicity,
+    word_runs,
 )
 from ebbtide.llm.common import table
 
@@ -33,10 +36,10 @@ def query(name: str):
     return register
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op6_token_counts")
@@ -264,3 +267,51 @@ FROM placed LEFT JOIN resolved USING (dir)
 
 
 ORACLES["op8_license_scan"] = _licence_sql()
+
+
+@query("op11_lexical_search")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_lexical_search"] = r"""
+WITH held AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), asked AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT item_id, min(text) AS text FROM benchmark GROUP BY item_id)
+  ) GROUP BY ALL
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM held GROUP BY doc_id
+), totals AS (
+  SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes
+), frequencies AS (
+  SELECT doc_id, term, count(*) AS tf FROM held WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM frequencies, totals GROUP BY term
+), parts AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))) AS part
+  FROM frequencies JOIN weights USING (term) JOIN sizes USING (doc_id), totals
+), scores AS (
+  SELECT item_id, doc_id, sum(times * part)::BIGINT AS score FROM parts JOIN asked USING (term) GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+
+@query("op12_word_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = word_runs.with_planted_runs(table(spark, sf_dir, "documents"))
+    return word_runs.digests(word_runs.periodic_runs(docs))
+
+
+@query("op13_slack_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slack_packing.digests(slack_packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json")))
