@@ -45,24 +45,54 @@ def link_results(calls: DataFrame, results: DataFrame) -> DataFrame:
 def topological_levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 without dependencies, else one more than the highest of them.
 
-    One round settles all calls whose dependencies are settled; rounds end when none is added.
+    Chains are contracted first: a dependency on a call that has only one itself becomes one on that, so many
+    steps further back, and the steps double in every round. What is left hangs on calls without dependencies and on
+    those with several. These are settled in rounds, each joining only the newest calls with the edges on them, so the
+    rounds grow with the number of calls with several dependencies that follow each other, not with a chain's length.
     """
     nodes = calls.filter("call_id is not null").select(*KEY).distinct()
     edges = calls.select(*KEY, F.explode("depends_on").alias("dep")).distinct()
     known = nodes.select("conv_id", F.col("call_id").alias("dep"))
-    edges = stored(edges.join(known, ["conv_id", "dep"], "left_semi"), "call-edges")
-    waiting = edges.groupBy(*KEY).agg(F.count("*").alias("needs"))
-    newest = stored(nodes.join(waiting, KEY, "left_anti").withColumn("level", F.lit(0)), "call-levels")
+    edges = edges.join(known, ["conv_id", "dep"], "left_semi").withColumn("steps", F.lit(1).cast("long"))
+    edges = contracted(stored(edges, "call-edges"))
+    needs = stored(edges.groupBy(*KEY).agg(F.count("*").alias("needs")), "call-needs")
+    newest = stored(nodes.join(needs, KEY, "left_anti").withColumn("level", F.lit(0).cast("long")), "call-levels")
     settled = newest
-    while True:
-        done = settled.select("conv_id", F.col("call_id").alias("dep"), "level")
-        ready = edges.join(done, ["conv_id", "dep"]).groupBy(*KEY).agg(
-            F.count("*").alias("met"), (F.max("level") + 1).alias("level")
-        ).join(waiting, KEY).filter("met = needs").select(*KEY, "level").join(settled.select(*KEY), KEY, "left_anti")
-        newest = stored(ready, "call-levels")
-        if newest.isEmpty():
-            return settled
+    while not newest.isEmpty():
+        done = newest.select("conv_id", F.col("call_id").alias("dep"), "level")
+        met = edges.join(done, ["conv_id", "dep"]).groupBy(*KEY).agg(
+            F.count("*").alias("met"), F.max(F.col("level") + F.col("steps")).alias("level")
+        ).withColumn("needs", F.lit(0).cast("long"))
+        # what was met in earlier rounds has been taken from the needs and left its highest level there
+        both = met.unionByName(needs.select(
+            *KEY, F.lit(0).cast("long").alias("met"), (F.col("level") if "level" in needs.columns else F.lit(None).cast("long")).alias("level"), "needs",
+        )).groupBy(*KEY).agg(F.sum("met").alias("met"), F.max("level").alias("level"), F.sum("needs").alias("needs"))
+        needs = stored(both.select(*KEY, (F.col("needs") - F.col("met")).alias("needs"), "level"), "call-needs")
+        newest = stored(needs.filter("needs = 0").select(*KEY, "level"), "call-levels")
+        needs = needs.filter("needs > 0")
         settled = settled.union(newest)
+    return settled
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, dep, steps): edges past all calls that depend on one call only; the longest way counts.
+
+    Edges that still end at such a call after as many doublings as calls allow run into a cycle; they stay and are
+    never settled.
+    """
+    n, rounds = edges.count(), 0
+    while 1 << rounds <= n:
+        single = edges.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("dep").alias("next"), F.min("steps").alias("more")).filter(
+            "n = 1").select("conv_id", F.col("call_id").alias("dep"), "next", "more")
+        further = edges.join(single, ["conv_id", "dep"], "left")
+        longer = stored(further.groupBy(*KEY, F.coalesce("next", "dep").alias("dep")).agg(
+            F.max(F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.max(F.col("next").isNotNull()).alias("moved")
+        ), "call-edges")
+        edges = longer.drop("moved")
+        if longer.filter("moved").isEmpty():
+            break
+        rounds += 1
+    return edges
 
 
 def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
@@ -121,7 +151,7 @@ def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     one = stored(one_of_each(turns, ["conv_id", "turn"], ["role", "text"]), "turns")
     asked = one.filter("role = 'user'").select(
-        "conv_id", (F.col("turn") + 1).alias("turn"), F.array_join(F.slice(words_of(F.col("text")), 1, 8), " ").alias("query"),
+        "conv_id", (F.col("turn") + 1).alias("turn"), F.array_join(words_of(F.col("text")), " ").alias("query"),
         count_words(F.col("text")).alias("n"),
     )
     calls = one.filter("role = 'assistant'").select("conv_id", "turn", F.length("text").alias("size")).join(

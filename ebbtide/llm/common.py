@@ -78,15 +78,45 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-#: Ids that are broadcast at most: 8 MB of longs.
+#: Ids that are broadcast at most: 16 MB with their hashes.
 BROADCAST_IDS = 1 << 20
+#: Rows of an Arrow batch of whole texts; Spark's default of 10,000 takes hundreds of MB.
+ARROW_ROWS = "1000"
+
+
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """``docs`` as they are; Python tasks of the session get batches of ``ARROW_ROWS``, unless it sets a size itself."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, ARROW_ROWS)
+    return docs
+
+
+def listed_in(ids: DataFrame, name: str) -> DataFrame:
+    """``ids`` stored, and marked for a broadcast if they are at most ``BROADCAST_IDS``; beyond, joins shuffle."""
+    held = stored(ids, name)
+    return F.broadcast(held) if held.count() <= BROADCAST_IDS else held
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in the one column of ``ids``; null ids stay.
+    """The rows of ``docs`` whose doc_id is not in the one column of ``ids``; null ids stay."""
+    gone = listed_in(ids.toDF("gone").filter("gone is not null"), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
+def without_rows(docs: DataFrame, rows: DataFrame, key: Column) -> DataFrame:
+    """The rows of ``docs`` without those of ``rows``, given as doc_id and the value of ``key``, a hash of what they hold."""
+    gone = listed_in(rows.toDF("gone_id", "gone_key").distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (key == gone["gone_key"]), "left_anti")
+
+
+def one_row_per_id(docs: DataFrame) -> DataFrame:
+    """Of the rows that share an id the least one; rows without an id all stay.
 
-    The ids are counted first and broadcast only up to ``BROADCAST_IDS``; beyond, both sides are shuffled.
+    Ids are counted without their rows, and only the rows of repeated ids are grouped, combined map-side.
     """
-    gone = stored(ids.toDF("gone").filter("gone is not null"), "gone")
-    few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["gone"], "left_anti")
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    again = listed_in(repeated.select(F.col("doc_id").alias("again")), "repeated")
+    is_again = docs["doc_id"] == again["again"]
+    least = docs.join(again, is_again, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return docs.join(again, is_again, "left_anti").union(least.select("row.*"))

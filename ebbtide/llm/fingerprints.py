@@ -1,9 +1,11 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch holds every distinct 64-bit shingle hash in the lowest ``FRACTION`` of the hash range, so a document's
-sketch grows with the document and the sketch of a union is the union of sketches. Its least hash always
-stays, so that a short text has a sketch too. Containment of one sketch in the smaller of two estimates how
-much of the smaller document the other one holds, however unequal they are.
+A sketch holds every distinct 64-bit shingle hash below a limit, one in ``ONE_IN`` of all, so a document's sketch
+grows with the document and the sketch of a union is the union of sketches (``merge``). Containment of one sketch
+in the smaller of two estimates how much of the smaller document the other one holds, however unequal they are.
+The fingerprint of a text whose shingles all lie above the limit is its least hash, marked by ``~``: enough to tell
+texts apart and compare them, but no part of a sketch, so merging never sees it. Fingerprints are the hashes'
+bytes in base64.
 
 Defined results: a null or empty text has no shingles, an empty fingerprint, likeness 1 to another such text
 and 0 to any other; a text of fewer words than a shingle is one shingle; null ids come last in the order of
@@ -20,19 +22,19 @@ from ebbtide.llm.common import count_below, let, text_of, window_hashes, words_o
 
 SHINGLE = 5
 #: One in so many hashes is kept.
-ONE_IN = 4
+ONE_IN = 32
 #: Documents that one window partition holds, and the most partitions asked for.
 BLOCK_DOCS = 1024
 MAX_BLOCKS = 16_000
 
 
 def sketch(text: Column, width: int = SHINGLE, one_in: int = ONE_IN) -> Column:
-    """Ascending distinct hashes of the retained shingles."""
+    """Struct of ``kept``, the ascending distinct hashes below the limit, and ``least``, the least hash if none is kept."""
     limit = -(1 << 63) + (1 << 64) // one_in
 
     def retain(runs: Column) -> Column:
         low = F.sort_array(F.array_distinct(F.filter(runs, lambda h: h < F.lit(limit))))
-        return F.when(F.size(low) > 0, low).otherwise(F.array_compact(F.array(F.array_min(runs))))
+        return F.struct(low.alias("kept"), F.when(F.size(low) == 0, F.array_min(runs)).alias("least"))
 
     def shingles(words: Column) -> Column:
         whole = F.aggregate(words, F.lit(0).cast("long"), lambda h, w: F.xxhash64(h, w))
@@ -45,20 +47,28 @@ def sketch(text: Column, width: int = SHINGLE, one_in: int = ONE_IN) -> Column:
 
 
 def merge(a: Column, b: Column) -> Column:
-    """Sketch of two texts together; shingles across their border aside."""
+    """The kept hashes of two texts together, from their kept hashes; shingles across their border aside."""
     return F.sort_array(F.array_union(a, b))
 
 
 def containment(a: Column, b: Column) -> Column:
     """Estimated share of the smaller text's shingles that the other one has too."""
-    least = F.least(F.size(a), F.size(b))
-    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(
-        F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0)
+    x, y = all_hashes(a), all_hashes(b)
+    least = F.least(F.size(x), F.size(y))
+    return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise(
+        F.when(F.size(x) == F.size(y), 1.0).otherwise(0.0)
     ).cast("double")
 
 
-def printed(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda h: F.lower(F.hex(h))), ",")
+def all_hashes(sketch: Column) -> Column:
+    """What a text is compared by: its kept hashes, or the least one if there are none."""
+    return F.when(sketch["least"].isNull(), sketch["kept"]).otherwise(F.array(sketch["least"]))
+
+
+def printed(sketch: Column) -> Column:
+    """Base64 of the hashes' bytes; a lone least hash has a ``~`` before it."""
+    encoded = F.base64(F.unhex(F.array_join(F.transform(all_hashes(sketch), lambda h: F.lpad(F.hex(h), 16, "0")), "")))
+    return F.concat(F.when(sketch["least"].isNotNull(), "~").otherwise(""), F.replace(encoded, F.lit("\r\n"), F.lit("")))
 
 
 def with_next(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> tuple[DataFrame, Window]:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import count_below, stored, text_of
+from ebbtide.llm.common import bounded_batches, count_below, stored, text_of
 from ebbtide.llm.components import components
 
 SLOTS = 1 << 18
@@ -45,10 +45,10 @@ BITS = 1 << 24
 #: Sets and shingles that a block holds on average, at most.
 BLOCK_SETS = 256
 BLOCK_TOKENS = 1 << 19
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 18
 #: Rows that a task turns into arrays at once.
-BATCH_DOCS = 1024
-BATCH_SETS = 256
+BATCH_DOCS = 256
+BATCH_SETS = 128
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -85,9 +85,10 @@ def _chunk_sets(raw: np.ndarray, bounds: np.ndarray, width: int) -> list[np.ndar
     new[first_byte[first_byte < len(at)]] = True
     start = np.flatnonzero(new)
     length = np.diff(np.r_[start, len(at)])
-    place = np.arange(len(at)) - np.repeat(start, length)
+    place = np.arange(len(at), dtype=np.int32) - np.repeat(start.astype(np.int32), length)
     value = letter[raw[at]] * place_weights(int(length.max()))[place]
     word = mixed(np.add.reduceat(value, start) + length.astype(np.uint64))
+    del place, value
     first = np.searchsorted(start, first_byte)
     after = np.r_[first[1:], len(start)]
     grams = word[: max(len(word) - width + 1, 0)].copy()
@@ -417,7 +418,7 @@ def similar_documents(
     without ``every`` only as many as the components need.
     """
     threshold = Threshold(num, den)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text"))
+    texts = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text"))
     measured = stored(texts.mapInArrow(
         _measured(width), "doc_id long, n_shingles long, set_key string, slot int, held long"
     ), "sets")
@@ -477,8 +478,18 @@ def similar_documents(
     return result, links.select("u", "v")
 
 
+def counted_documents(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links of each document, from one join."""
+    members, links = similar_documents(docs, width, num, den)
+    return _with_counts(members, links).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def link_counts(members: DataFrame, links: DataFrame) -> DataFrame:
     """doc_id and n_links: the other documents that a document links with, those of an equal set among them."""
+    return _with_counts(members, links).select("doc_id", "n_links")
+
+
+def _with_counts(members: DataFrame, links: DataFrame) -> DataFrame:
     sizes = members.filter("node is not null and doc_id is not null").groupBy("node").agg(F.count_distinct("doc_id").alias("n"))
     both = links.select(F.col("u").alias("of"), F.col("v").alias("node")).union(
         links.select(F.col("v").alias("of"), F.col("u").alias("node"))
@@ -487,6 +498,6 @@ def link_counts(members: DataFrame, links: DataFrame) -> DataFrame:
     counts = sizes.join(others, F.col("node") == F.col("of"), "left").select(
         "node", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
     )
-    return members.join(counts, "node", "left").select(
-        "doc_id", F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links")
+    return members.join(counts, "node", "left").withColumn(
+        "n_links", F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long")
     )

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import stored, without
+from ebbtide.llm.common import stored, text_of, without_rows
 from ebbtide.llm.quality_rules import measures
 
 SAMPLE = 20_000
@@ -87,15 +87,30 @@ def score(
     By default the host is the source and the path its section of one language, as in the pages' addresses
     (``pages_site`` gives both for an address).
     """
-    host = F.col("source") if host is None else host
-    path = F.col("lang") if path is None else path
+    return judged_rows(docs, labels, host, path, sample, threshold).drop("row_key")
+
+
+def row_key(host: Column, path: Column) -> Column:
+    """Hash of all that a verdict depends on: equal rows have equal verdicts."""
+    return F.xxhash64(text_of(F.col("text")), host, host.isNull(), path, path.isNull())
+
+
+def judged_rows(
+    docs: DataFrame, labels: DataFrame, host: Column | None, path: Column | None, sample: int, threshold: float
+) -> DataFrame:
+    """The columns of ``score`` and each row's key."""
+    host = (F.col("source") if host is None else host).cast("string")
+    path = (F.col("lang") if path is None else path).cast("string")
     keyed = docs.select(
-        F.struct(F.col("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path")).alias("doc_id"), "text"
+        F.struct(F.col("doc_id"), host.alias("host"), path.alias("path"), row_key(host, path).alias("row_key")).alias("doc_id"), "text"
     )
     measured = stored(
         measures(keyed).select("doc_id.*", F.array(*evidence_features()).alias("x")), "quality-measures"
     )
-    rows = measured.join(labelled_sample(labels, "quality", sample), "doc_id").select("x", "y").limit(sample).toArrow()
+    # of several rows of one id, the least by its measures: a row per label, the same in every run
+    rows = measured.join(labelled_sample(labels, "quality", sample), "doc_id").groupBy("doc_id").agg(
+        F.min("x").alias("x"), F.min("y").alias("y")
+    ).orderBy("doc_id").select("x", "y").toArrow()
     y = rows["y"].to_numpy().astype(float)
     base = 0.5
     weights = np.zeros(len(evidence_features()))
@@ -103,7 +118,7 @@ def score(
         x = np.array(rows["x"].to_pylist())
         weights, base = fit_logistic(x, y), float(y.mean())
     linear = sum((F.get(F.col("x"), k) * float(w) for k, w in enumerate(weights)), F.lit(0.0))
-    judged = measured.select("doc_id", "host", "path", linear.alias("logit")).withColumn(
+    judged = measured.select("doc_id", "host", "path", "row_key", linear.alias("logit")).withColumn(
         "p", 1 / (1 + F.exp(-F.col("logit")))
     )
 
@@ -135,7 +150,7 @@ def score(
     odds = F.col("logit") - math.log(base / (1 - base)) + _logit(F.col("path_share"))
     return joined.withColumn("host_share", host_share).withColumn("path_share", path_share).select(
         "doc_id", "host", "path", F.col("logit").alias("evidence"), "host_share", "path_share",
-        (1 / (1 + F.exp(-odds))).alias("posterior"),
+        (1 / (1 + F.exp(-odds))).alias("posterior"), "row_key",
     ).withColumn("keep", F.col("posterior") >= threshold)
 
 
@@ -148,9 +163,7 @@ def pages_site(url: Column) -> tuple[Column, Column]:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are kept, all their columns.
-
-    Rows that share an id stay if one of them is kept; rows without an id stay.
-    """
-    judged = score(docs, labels, sample=sample, threshold=threshold).groupBy("doc_id").agg(F.max("keep").alias("keep"))
-    return without(docs, judged.filter(~F.col("keep")).select("doc_id"))
+    """The documents that are kept, all their columns; every row is judged, those of one id or without an id too."""
+    judged = judged_rows(docs, labels, None, None, sample, threshold)
+    key = row_key(F.col("source").cast("string"), F.col("lang").cast("string"))
+    return without_rows(docs, judged.filter(~F.col("keep")).select("doc_id", "row_key"), key)

@@ -63,12 +63,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_ngram_jaccard_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, _ = jaccard_join.similar_documents(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
-    return members.select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.counted_documents(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
 
 
 #: Exact for words of any length: shingles are joined with a separator that no word holds.
-ORACLES["op4_ngram_jaccard_join"] = """
+_JACCARD_SQL = """
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\\x20\\x09-\\x0D]+') AS w
@@ -98,8 +97,20 @@ WITH RECURSIVE words AS (
 ), named AS (
   SELECT u AS node, min(v) AS component_id FROM reach GROUP BY u
 )
-SELECT keyed.doc_id, keyed.n::BIGINT AS n_shingles, coalesce(named.component_id, keyed.doc_id) AS component_id
-FROM keyed LEFT JOIN nodes ON keyed.k = nodes.k AND keyed.n > 0 LEFT JOIN named USING (node)
+"""
+_LINKS_SQL = """, sizes AS (
+  SELECT k, count(*) AS held FROM keyed WHERE n > 0 GROUP BY k
+), linked AS (
+  SELECT x.node, sum(held) AS linked
+  FROM (SELECT u AS node, v AS other FROM links UNION ALL SELECT v, u FROM links) x
+  JOIN nodes ON nodes.node = x.other JOIN sizes USING (k) GROUP BY x.node
+)
+"""
+ORACLES["op4_ngram_jaccard_join"] = _JACCARD_SQL + _LINKS_SQL + """
+SELECT keyed.doc_id, keyed.n::BIGINT AS n_shingles, coalesce(named.component_id, keyed.doc_id) AS component_id,
+  (coalesce(held - 1, 0) + coalesce(linked, 0))::BIGINT AS n_links
+FROM keyed LEFT JOIN nodes ON keyed.k = nodes.k AND keyed.n > 0 LEFT JOIN sizes ON sizes.k = nodes.k
+  LEFT JOIN linked USING (node) LEFT JOIN named USING (node)
 """
 
 
@@ -109,13 +120,7 @@ def op4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The pairs of op4_ngram_jaccard_join, counted for each document instead of followed.
-ORACLES["op4_ngram_jaccard_links"] = ORACLES["op4_ngram_jaccard_join"].split("), both_ways AS")[0] + """), sizes AS (
-  SELECT k, count(*) AS held FROM keyed WHERE n > 0 GROUP BY k
-), linked AS (
-  SELECT x.node, sum(held) AS linked
-  FROM (SELECT u AS node, v AS other FROM links UNION ALL SELECT v, u FROM links) x
-  JOIN nodes ON nodes.node = x.other JOIN sizes USING (k) GROUP BY x.node
-)
+ORACLES["op4_ngram_jaccard_links"] = _JACCARD_SQL.split(", both_ways AS")[0] + _LINKS_SQL + """
 SELECT keyed.doc_id, (coalesce(held - 1, 0) + coalesce(linked, 0))::BIGINT AS n_links
 FROM keyed LEFT JOIN nodes ON keyed.k = nodes.k AND keyed.n > 0 LEFT JOIN sizes ON sizes.k = nodes.k LEFT JOIN linked USING (node)
 """
@@ -153,7 +158,7 @@ WITH RECURSIVE one AS (
 ), asked AS (
   SELECT conv_id, turn + 1 AS turn, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM one WHERE role = 'user'
 ), raw AS (
-  SELECT a.conv_id, a.turn, length(a.text) AS size, len(w) AS n, array_to_string(w[1:8], ' ') AS query
+  SELECT a.conv_id, a.turn, length(a.text) AS size, len(w) AS n, array_to_string(w, ' ') AS query
   FROM one a LEFT JOIN asked USING (conv_id, turn) WHERE a.role = 'assistant'
 ), calls AS (
   SELECT conv_id, turn, 'call-' || conv_id || '-' || turn AS call_id,
