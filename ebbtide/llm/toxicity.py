@@ -22,12 +22,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import stored
+from ebbtide.llm.common import bounded_batches, stored
 from ebbtide.llm.quality import labelled_sample
 
 SAMPLE = 20_000
@@ -39,8 +39,8 @@ GAIN = 13.0
 PURE = 0.8
 GRADES = 3
 EDGE = ".,;:!?\"'()[]{}<>*_-`~|/\\#$%&+="
-KNOWN = 400_000
-BATCH_DOCS = 512
+KNOWN = 100_000
+BATCH_DOCS = 256
 
 
 def token_features(word: str) -> list[int]:
@@ -108,23 +108,30 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, levels: int = GRADES) -> Model:
+    bounded_batches(docs)
     chosen = F.broadcast(labelled_sample(labels, "toxic", sample))  # ``sample`` ids at most
     read = docs.select("doc_id", "text").join(chosen, "doc_id")
 
-    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), BATCH_DOCS):
-                part = batch.iloc[start : start + BATCH_DOCS]
+            for start in range(0, batch.num_rows, BATCH_DOCS):
+                part = batch.slice(start, BATCH_DOCS)
                 found = [
-                    np.unique([f for w in set((t or "").split()) for f in token_features(w)], return_counts=True)
-                    for t in part["text"]
+                    np.unique([f for w in set(t.split()) for f in token_features(w)], return_counts=True)
+                    for t in part.column(1).to_pylist()
                 ]
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].to_numpy(), "y": part["y"].to_numpy(dtype="int32"),
-                    "f": [f.astype("int64") for f, _ in found], "c": [c.astype("int32") for _, c in found],
+                yield pa.record_batch({
+                    "doc_id": part.column(0), "y": part.column(2),
+                    "f": pa.array([f.astype("int64") for f, _ in found], pa.list_(pa.int64())),
+                    "c": pa.array([c.astype("int32") for _, c in found], pa.list_(pa.int32())),
                 })
 
-    rows = stored(read.mapInPandas(held, "doc_id long, y int, f array<bigint>, c array<int>").dropDuplicates(["doc_id"]), "toxicity-sample")
+    features_of = read.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("y").cast("int").alias("y")
+    ).mapInArrow(held, "doc_id long, y int, f array<bigint>, c array<int>")
+    # of several texts of one id, the least by its features: the same in every run
+    rows = features_of.groupBy("doc_id").agg(F.min(F.struct("f", "c", "y")).alias("row")).select("doc_id", "row.*")
+    rows = stored(rows, "toxicity-sample")
     totals = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("y") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(True, 0), totals.get(False, 0)
     none = Model([], [], [float(k) for k in range(5, 5 + levels)])
@@ -166,11 +173,15 @@ def refined(toxic: np.ndarray, held: np.ndarray, levels: int) -> np.ndarray:
 def severity_score(text: Column, model: Model) -> Column:
     """Linear score of a text: the weights of its distinct words."""
 
-    @F.pandas_udf("double")
-    def linear(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def linear(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights = Weights(model.ids, model.weights)
         for batch in batches:
-            yield pd.Series([sum(map(weights.__getitem__, set(t.split()))) for t in batch], dtype="float64")
+            scores: list[float] = []
+            for start in range(0, len(batch), BATCH_DOCS):
+                texts = batch.slice(start, BATCH_DOCS).to_pylist()
+                scores += [sum(map(weights.__getitem__, set(t.split()))) for t in texts]
+            yield pa.array(scores, pa.float64())
 
     return linear(F.coalesce(text, F.lit("")))
 
