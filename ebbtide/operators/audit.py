@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide import specs
@@ -15,6 +18,8 @@ from ebbtide.functions import scalars as S
 from ebbtide.operators import calibration, metrics, models, splits, summaries
 from ebbtide.operators.prep import Prepared, assemble
 from ebbtide.operators.quantiles import quantile_values
+from ebbtide.operators.ranking import dense_index, permuted
+from ebbtide.session import stored
 
 MIN_SUBGROUP = 10
 
@@ -167,40 +172,56 @@ def perturbation_sensitivity(
     )
 
 
-def permuted_partner(df: DataFrame, key: Column, n: int, group_rows: int = 50_000) -> DataFrame:
-    """Add ``_partner``: the features of another row, each used exactly once.
+def with_partner(rows: DataFrame, order: Sequence[str], seed: int = specs.SEED) -> DataFrame:
+    """Add ``_partner``, the ``x`` of another row, each row's used exactly once.
 
-    Rows are spread by hash over groups of bounded size and every row takes the next one's values
-    in hash order, the last one the first's.
+    Rows get dense numbers, a keyed bijection of them says whose values a row takes, and rows meet by number: one rule
+    at every size.
     """
-    groups = max(1, math.ceil(n / group_rows))
-    placed = df.withColumns({
-        "_g": F.pmod(F.xxhash64(key, F.lit("g")), F.lit(groups)), "_o": F.xxhash64(key, F.lit("o"))
-    })
-    part = Window.partitionBy("_g").orderBy("_o")
-    whole = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    values = vector_to_array("features")
-    following = F.coalesce(F.lead(values).over(part), F.first(values).over(whole))
-    return placed.withColumn("_partner", following).drop("_g", "_o")
+    indexed = stored(dense_index(rows, order, "permuted"), "permuted")
+    n = indexed.count()
+    takes = indexed.withColumn("_from", permuted(F.col("index"), max(n, 1), seed))
+    given = indexed.select(F.col("index").alias("_from"), F.col("x").alias("_partner"))
+    return takes.join(given, "_from").drop("_from", "index")
 
 
 def permutation_importance(
     classifier: models.Classifier, df: DataFrame, features: Sequence[str], key: Column
 ) -> DataFrame:
-    """Macro-F1 loss per feature when its values are permuted over the table, one scoring pass."""
-    base = metrics.macro_f1(classifier.predict(df), "_class", "pred")
-    partner = permuted_partner(df, key, df.count())
-    wide = partner.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
-    mixed = F.transform(
-        vector_to_array("features"),
-        lambda v, i: F.when(i == F.col("_f"), F.get(F.col("_partner"), i)).otherwise(v),
-    )
-    shuffled = classifier.predict(wide.withColumn("features", array_to_vector(mixed)))
-    table = metrics.evaluate(shuffled, ["_f"], "_class", "pred")
+    """Macro-F1 loss per feature when its values are permuted over the whole table.
+
+    Every task replaces one column after the other by the partners' values, scores its rows and counts the outcomes;
+    only counts leave it.
+    """
+    rows = df.select(key.alias("_key"), vector_to_array("features").alias("x"), F.col("_class").alias("y"))
+    paired = with_partner(rows, ["_key"]).select("y", "x", "_partner")
+    classify, classes = classifier.classify(), list(classifier.classes)
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            n = batch.num_rows
+            if not n:
+                continue
+            truth = batch.column(0).to_pylist()
+            x, other = (np.asarray(batch.column(c).flatten(), dtype=float).reshape(n, -1) for c in (1, 2))
+            out: Counter = Counter()
+            for f in range(-1, x.shape[1]):
+                mixed = x.copy()
+                if f >= 0:
+                    mixed[:, f] = other[:, f]
+                out.update((f, a, classes[b]) for a, b in zip(truth, classify(mixed).tolist(), strict=True))
+            yield pa.record_batch({
+                "f": pa.array([k[0] for k in out], pa.int32()), "y": pa.array([k[1] for k in out], pa.string()),
+                "pred": pa.array([k[2] for k in out], pa.string()), "n": pa.array(list(out.values()), pa.int64()),
+            })
+
+    counts = paired.mapInArrow(count, "f int, y string, pred string, n long").groupBy("f", "y", "pred").agg(F.sum("n").alias("n"))
+    table = stored(metrics.report(counts, ["f"]), "permutation")
+    base = table.where("f = -1").select(F.col("f1_macro").alias("base"))
     names = F.array(*[F.lit(c) for c in features])
-    drop = F.lit(base) - F.col("f1_macro")
-    return table.select(
-        F.get(names, F.col("_f")).alias("feature"), drop.alias("f1_drop"), (drop > 0.15).alias("fragile")
+    drop = base.scalar() - F.col("f1_macro")
+    return table.where("f >= 0").select(
+        F.get(names, F.col("f")).alias("feature"), drop.alias("f1_drop"), (drop > 0.15).alias("fragile")
     )
 
 

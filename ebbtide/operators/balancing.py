@@ -1,19 +1,13 @@
-"""Synthetic minority rows between near neighbours, in blocks of bounded size."""
+"""Synthetic minority rows between true nearest neighbours, one rule at every size."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide import specs
-
-BLOCK_ROWS = 2000
-SLICES = 64
+from ebbtide.operators.neighbours import nearest
+from ebbtide.session import stored
 
 
 def oversample(
@@ -21,64 +15,39 @@ def oversample(
 ) -> DataFrame:
     """Training rows plus synthetic rows that bring every class to the largest class's size.
 
-    Minority rows are ordered into slices by a random projection and each slice is cut by hash
-    into blocks of about BLOCK_ROWS rows; neighbours are searched within a block. Every minority
-    row takes part, and no group grows with the class.
+    A minority row moves a random share of the way to one of its k nearest neighbours in its class. New rows are
+    dealt to the minority rows evenly, the remainder in the order of their hashes; all draws are hashes of the
+    row's values, so a repeated task repeats them. Equal rows are told apart by their number among their equals.
     """
     counts = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}
     largest = max(counts.values())
     out = train.select(features, label)
     for code, n in sorted(counts.items()):
         if n < largest and n > 1:
-            rows = _synthetic(train.where(F.col(label) == code), n, largest, k, features)
+            rows = _synthetic(train.where(F.col(label) == code), n, largest, max(1, min(n - 1, k)), features)
             out = out.unionByName(
                 rows.select(array_to_vector("v").alias(features), F.lit(code).alias(label))
             )
     return out
 
 
+def _draw(tag: str, *cols: Column) -> Column:
+    """A number in [0, 1) from a hash."""
+    return F.pmod(F.xxhash64(F.lit(tag), *cols), F.lit(1 << 53)) / float(1 << 53)
+
+
 def _synthetic(minority: DataFrame, n: int, target: int, k: int, features: str) -> DataFrame:
     values = minority.select(vector_to_array(features).alias("v"))
-    width = len(minority.select(features).first()[0])
-    direction = np.random.default_rng(specs.SEED).normal(size=width)
-    weights = F.array(*[F.lit(float(d)) for d in direction])
-    line = F.aggregate(F.zip_with("v", weights, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    projected = values.withColumn("_line", line)
-    slices = min(SLICES, max(1, math.ceil(n / BLOCK_ROWS)))
-    bounds = F.array().cast("array<double>")
-    if slices > 1:
-        cuts = [i / slices for i in range(1, slices)]
-        bounds = projected.agg(F.percentile_approx("_line", cuts, 1000)).scalar()
-    salts = max(1, math.ceil(n / slices / BLOCK_ROWS))
-    placed = projected.withColumn("_bounds", bounds).select(
-        "v",
-        F.size(F.filter("_bounds", lambda b: b < F.col("_line"))).alias("slice"),
-        F.pmod(F.xxhash64("v"), F.lit(salts)).alias("salt"),
+    twin = F.row_number().over(Window.partitionBy("v").orderBy("v"))
+    rows = stored(values.withColumn("twin", twin).withColumn("id", F.xxhash64("v", "twin")), "minority")
+    each, more = divmod(target - n, n)
+    first = rows.orderBy("id").limit(more).select("id").withColumn("extra", F.lit(1))  # the share of new rows that is left
+    dealt = rows.join(first, "id", "left").withColumn("times", F.lit(each) + F.coalesce("extra", F.lit(0))).filter("times > 0")
+    near = nearest(rows.select("id", "v"), k)
+    base = dealt.join(near, "id").select("id", "v", "neighbours", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    place = F.floor(_draw("partner", F.col("id"), F.col("copy")) * F.size("neighbours")).cast("int")
+    chosen = base.select("id", "v", "copy", F.get("neighbours", place)["id"].alias("to")).join(
+        rows.select(F.col("id").alias("to"), F.col("v").alias("w")), "to"
     )
-    grow = _grow((target - n) / n, max(1, min(n - 1, k)))
-    return placed.groupBy("slice", "salt").applyInPandas(grow, "v array<double>")
-
-
-def _grow(copies: float, k: int):
-    """New rows of one block: each base row moves a random share towards one of its neighbours."""
-
-    def run(key, block):
-        x = np.stack([np.asarray(v, dtype=float) for v in block["v"]])
-        x = x[np.lexsort(x.T[::-1])]
-        rng = np.random.default_rng([specs.SEED, *(abs(int(part)) for part in key)])
-        times = np.floor(copies + rng.random(len(x))).astype(int)
-        base = np.repeat(np.arange(len(x)), times)
-        if len(base) == 0:
-            return pd.DataFrame({"v": []})
-        near = min(k, len(x) - 1)
-        if near == 0:
-            return pd.DataFrame({"v": list(x[base])})
-        squares = (x * x).sum(axis=1)
-        distance = squares[:, None] + squares[None, :] - 2 * x @ x.T
-        np.fill_diagonal(distance, np.inf)
-        neighbours = np.argpartition(distance, near - 1, axis=1)[:, :near]
-        partner = neighbours[base, rng.integers(0, near, len(base))]
-        share = rng.random((len(base), 1))
-        return pd.DataFrame({"v": list(x[base] + share * (x[partner] - x[base]))})
-
-    return run
+    share = _draw("share", F.col("id"), F.col("copy"))
+    return chosen.select(F.zip_with("v", "w", lambda a, b: a + share * (b - a)).alias("v"))

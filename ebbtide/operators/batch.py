@@ -33,8 +33,8 @@ class Scorer:
     def required(self) -> list[str]:
         return [c for c in self.prepared.features if not c.startswith("lifecycle_stage_")]
 
-    def score(self, rows: DataFrame) -> DataFrame:
-        """Rows with probabilities, class, confidence, band, warnings, completeness, cluster."""
+    def score(self, rows: DataFrame, explained: bool = True) -> DataFrame:
+        """Rows with probabilities, class, confidence, band, warnings, completeness, cluster and top contributions."""
         keep = rows.columns
         have = [c for c in self.required if c in rows.columns]
         share = (
@@ -50,13 +50,16 @@ class Scorer:
             p = "q"
         if self.clusters is not None:
             scored = self.clusters.transform(scored)
+        if explained:
+            scored = self.classifier.explain(scored, self.prepared.features)
         cluster = F.col("cluster") if self.clusters is not None else F.lit(None).cast("int")
         pred = P.decide(F.col(p), self.prepared.classes, self.weights, self.threshold)
         classes = F.array(*[F.lit(c) for c in self.prepared.classes])
+        told = ["top_features"] if explained else []
         final = scored.select(
             *[F.col(f"_raw_{c}").alias(c) for c in keep], "completeness",
             F.col("p").alias("raw_probabilities"), F.col(p).alias("probabilities"),
-            pred.alias("pred"), cluster.alias("cluster"),
+            pred.alias("pred"), cluster.alias("cluster"), *told,
         ).withColumn(
             "confidence", F.get("probabilities", F.array_position(classes, F.col("pred")).cast("int") - 1)
         )
@@ -80,8 +83,8 @@ class Scorer:
 
     def scenario(self, rows: DataFrame, key: list[str], feature: str, percent: float) -> DataFrame:
         """Risk of every row with one feature moved, next to its own risk."""
-        base = self.score(rows).select(*key, F.col("risk_score").alias("risk_score"))
-        moved = self.score(validation.what_if(rows, feature, percent)).select(
+        base = self.score(rows, explained=False).select(*key, F.col("risk_score").alias("risk_score"))
+        moved = self.score(validation.what_if(rows, feature, percent), explained=False).select(
             *key, F.col("risk_score").alias("scenario_score")
         )
         return base.join(moved, key).withColumn(

@@ -24,16 +24,18 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide import specs
-from ebbtide.operators.trees import Ensemble
+from ebbtide.operators.trees import Ensemble, scored
 from ebbtide.session import stored
 
 BINS = 64
 STORE_EVERY = 25
 HISTOGRAM_ROWS = 1 << 15
+#: Rows of a task, at least: every level is a job, so small tables are one task.
+TASK_ROWS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -49,6 +51,7 @@ class Params:
     lambda_: float = 1.0
     min_child_weight: float = 3.0
     held: int | None = None
+    class_weights: tuple[float, ...] | None = None
 
 
 @dataclass
@@ -60,6 +63,7 @@ class Tree:
     left: list[int] = field(default_factory=lambda: [0])
     right: list[int] = field(default_factory=lambda: [0])
     value: list[float] = field(default_factory=lambda: [0.0])
+    gain: list[float] = field(default_factory=lambda: [0.0])
 
     def arrays(self) -> tuple[np.ndarray, ...]:
         return tuple(np.array(x) for x in (self.feature, self.bin, self.left, self.right, self.value))
@@ -195,7 +199,8 @@ def fit(
                 pa.array([empty] * n, pa.binary()),
             ], names=[c.split()[0] for c in STATE.split(", ")])
 
-    state = stored(train.select(
+    parts = -(-train.count() // TASK_ROWS) or 1
+    state = stored(train.repartition(parts).select(
         vector_to_array("features").alias("x"), F.col("label").cast("int").alias("label"),
         (F.lit(1.0) if weight is None else weight.cast("double")).alias("weight"),
         (F.lit(-1) if fold is None else fold.cast("int")).alias("fold"), F.xxhash64(key).alias("key"),
@@ -213,7 +218,7 @@ def fit(
             open_ = {ck: nodes for ck, nodes in open_.items() if nodes and depth < candidates[ck[0]].depth}
             if not open_:
                 break
-            splits = _level(state, candidates, pending, trees, open_, cuts, n_bins, shape, seed, round_)
+            splits = _level(state, candidates, pending, trees, open_, cuts, n_bins, shape, seed, round_, parts > 1)
             open_ = {ck: _grow(trees[ck], open_[ck], splits.get(ck, {}), candidates[ck[0]]) for ck in open_}
         for (c, k), tree in trees.items():
             grown[c][k].append(tree)
@@ -230,7 +235,7 @@ def _grow(tree: Tree, nodes: list[int], splits: dict[int, tuple], p: Params) ->
             tree.value[0] = float(-soft(np.float64(left_g + right_g), p.alpha) / (left_h + right_h + p.lambda_) * p.step)
         if gain <= 0:
             continue
-        tree.feature[node], tree.bin[node] = feature, bin_
+        tree.feature[node], tree.bin[node], tree.gain[node] = feature, bin_, gain
         for side, g, h in ((tree.left, left_g, left_h), (tree.right, right_g, right_h)):
             side[node] = len(tree.feature)
             children.append(len(tree.feature))
@@ -238,6 +243,7 @@ def _grow(tree: Tree, nodes: list[int], splits: dict[int, tuple], p: Params) ->
             tree.bin.append(0)
             tree.left.append(0)
             tree.right.append(0)
+            tree.gain.append(0.0)
             tree.value.append(float(-soft(np.float64(g), p.alpha) / (h + p.lambda_) * p.step))
     return children
 
@@ -269,6 +275,7 @@ def _with_margins(state: DataFrame, pending: list[list[list[Tree]]], width: int,
 def _level(
     state: DataFrame, candidates: Sequence[Params], pending: list[list[list[Tree]]], trees: dict[tuple[int, int], Tree],
     open_: dict[tuple[int, int], list[int]], cuts: list[np.ndarray], n_bins: int, shape: tuple[int, int], seed: int, round_: int,
+    many_tasks: bool,
 ) -> dict[tuple[int, int], dict[int, tuple]]:
     """Best split of every open node, by (candidate, output): one job."""
     width, before = len(cuts), _arrays(pending)
@@ -288,6 +295,7 @@ def _level(
                     p = candidates[c]
                     trains = np.ones(len(rows.label), dtype=bool) if p.held is None else rows.fold != p.held
                     g, h = gradients(margin[:, c], rows.label)
+                    weight = rows.weight if p.class_weights is None else rows.weight * np.array(p.class_weights)[rows.label]
                     for k in range(shape[1]):
                         if (c, k) not in open_:
                             continue
@@ -297,7 +305,7 @@ def _level(
                         use = np.flatnonzero(trains & (at >= 0) & drawn_rows(rows.key, tree_seed(seed, c, round_, k), p.rows))
                         flat = (at[use, None] * cells + cell[use]).ravel()
                         for own, x in zip(total[c, k], (g[:, k], h[:, k]), strict=True):
-                            own += np.bincount(flat, weights=np.repeat((x * rows.weight)[use], width), minlength=len(own))
+                            own += np.bincount(flat, weights=np.repeat((x * weight)[use], width), minlength=len(own))
         if seen:
             yield pa.record_batch({
                 "c": pa.array([c for c, _ in total], pa.int32()), "k": pa.array([k for _, k in total], pa.int32()),
@@ -320,7 +328,8 @@ def _level(
         columns_ = list(zip(*out, strict=True)) or [()] * 10
         yield pa.record_batch([pa.array(v, t) for v, t in zip(columns_, kinds, strict=True)], names=names)
 
-    per_task = state.mapInArrow(sums, "c int, k int, sums binary").repartition("c", "k")
+    schema = "c int, k int, sums binary"
+    per_task = state.mapInArrow(sums, schema).repartition("c", "k") if many_tasks else state.coalesce(1).mapInArrow(sums, schema)
     found = per_task.mapInArrow(
         best, "c int, k int, node int, gain double, feature int, bin int, left_g double, left_h double, right_g double, right_h double"
     ).collect()
@@ -332,11 +341,12 @@ def _level(
 
 def _ensemble(per_output: list[list[Tree]], cuts: list[np.ndarray]) -> Ensemble:
     """Node tables over feature values instead of bins; a bin's upper cut is its threshold."""
-    root, feature, threshold, left, right, value = [], [], [], [], [], []
+    root, feature, threshold, left, right, value, gain = [], [], [], [], [], [], []
     for k, trees in enumerate(per_output):
         for tree in trees:
             at = len(feature)
             root.append(at)
+            gain += tree.gain
             for f, b, lo, hi, v in zip(tree.feature, tree.bin, tree.left, tree.right, tree.value, strict=True):
                 feature.append(f)
                 threshold.append(float(cuts[f][b]) if f >= 0 and b < len(cuts[f]) else np.inf)
@@ -346,6 +356,7 @@ def _ensemble(per_output: list[list[Tree]], cuts: list[np.ndarray]) -> Ensemble:
     return Ensemble(
         np.array(root, dtype=np.int64), np.array(feature, dtype=np.int64), np.array(threshold), np.array(left, dtype=np.int64),
         np.array(right, dtype=np.int64), np.array(value, dtype=float).reshape(-1, len(per_output)),
+        np.array(gain),
     )
 
 
@@ -360,6 +371,39 @@ def probabilities(margins: Column, n_classes: int) -> Column:
     return F.transform(parts, lambda x: x / total)
 
 
+NODES = "place long, is_root boolean, feature long, threshold double, left long, right long, value array<double>, gain double"
+
+
+@dataclass(frozen=True)
+class Boosted:
+    """A fitted classifier: its trees and what is needed to apply and store them."""
+
+    ensemble: Ensemble
+    n_classes: int
+    numFeatures: int
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """A row per node."""
+        e = self.ensemble
+        roots = np.zeros(len(e.feature), dtype=bool)
+        roots[e.root] = True
+        columns = (np.arange(len(e.feature)), roots, e.feature, e.threshold, e.left, e.right, e.value, e.gain)
+        rows = list(zip(*(c.tolist() for c in columns), strict=True))
+        spark.createDataFrame(rows, NODES).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, n_classes: int, n_features: int) -> Boosted:
+        rows = spark.read.parquet(path).orderBy("place").toArrow()
+        place, is_root, feature, threshold, left, right, _, gain = (c.to_numpy() for c in rows.columns)
+        value = np.array(rows["value"].to_pylist(), dtype=float)
+        return Boosted(Ensemble(place[is_root], feature, threshold, left, right, value, gain), n_classes, n_features)
+
+    def predict(self, df: DataFrame, out: str) -> DataFrame:
+        """Add the array of class probabilities."""
+        margins = f"_margins_{out}"
+        return scored(df, self.ensemble, margins).withColumn(out, probabilities(F.col(margins), self.n_classes)).drop(margins)
+
+
 def with_folds(p: Params, k: int) -> list[Params]:
     """The candidate once per held fold."""
     return [replace(p, held=i) for i in range(k)]

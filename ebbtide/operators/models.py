@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import product
 from typing import Any
 
+import numpy as np
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
 )
@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 
 from ebbtide import specs
 from ebbtide.functions import probability as P
-from ebbtide.operators import balancing, metrics
+from ebbtide.operators import balancing, boosting, metrics, newton, trees
 
 # ---- fixed values: hyper-parameter grids of the three classifiers ----
 GRIDS: dict[str, dict[str, Sequence[Any]]] = {
-    "boosted_trees": {"maxIter": (200, 400), "maxDepth": (4, 6), "stepSize": (0.05, 0.1)},
+    "boosted_trees": {
+        "maxIter": (200, 400), "maxDepth": (4, 6), "stepSize": (0.05, 0.1), "regAlpha": (0.0, 0.1), "regLambda": (1.0, 3.0),
+    },
     "random_forest": {"numTrees": (200, 400), "maxDepth": (10, 20), "minInstancesPerNode": (1, 4)},
     "logistic_regression": {"C": (0.01, 0.1, 1.0, 10.0)},
 }
@@ -45,7 +47,9 @@ class Classifier:
 
     def predict(self, df: DataFrame, out: str = "p") -> DataFrame:
         """Add the probability array ``out`` (class order) and ``pred``."""
-        if len(self.models) == 1:
+        if self.kind == "boosted_trees":
+            scored = self.models[0].predict(df, out)
+        elif len(self.models) == 1:
             p = _apply(df, self.models[0], "_p0")
             scored = p.withColumn(out, F.col("_p0")).drop("_p0")
         else:
@@ -65,10 +69,50 @@ class Classifier:
         if self.kind == "logistic_regression":
             rows = self.models[0].coefficientMatrix.toArray()
             weights = abs(rows).mean(axis=0)
+        elif self.kind == "boosted_trees":
+            weights = self.models[0].ensemble.importances(len(features))
         else:
             weights = sum(m.featureImportances.toArray() for m in self.models) / len(self.models)
         return sorted(zip(features, map(float, weights), strict=True), key=lambda x: -x[1])
 
+    def classify(self) -> Callable[[np.ndarray], np.ndarray]:
+        """A function of a matrix of features that gives the code of each row's class, for use inside tasks."""
+        if self.kind == "logistic_regression":
+            weights, shift = self.models[0].coefficientMatrix.toArray(), np.array(self.models[0].interceptVector.toArray())
+        else:
+            ensemble = self.ensemble()
+        two = self.kind in ("logistic_regression", "boosted_trees") and len(self.classes) == 2
+
+        if self.kind == "logistic_regression":  # the functions take no fitted Spark model along
+            return lambda x: _codes(x @ weights.T + shift, two)
+        return lambda x: _codes(np.concatenate([ensemble.score(p) for p in trees.slices(x, ensemble)]), two)
+
+    def ensemble(self) -> trees.Ensemble:
+        """The node table of a tree classifier."""
+        if self.kind == "boosted_trees":
+            return self.models[0].ensemble
+        if self.kind in ("random_forest", "decision_tree"):
+            return trees.of_forest(self.models[0])
+        raise ValueError(f"{self.kind} has no trees")
+
+    def explain(self, df: DataFrame, features: Sequence[str], k: int = trees.TOP, out: str = "top_features") -> DataFrame:
+        """Add every row's ``k`` features of largest mean absolute contribution, as (feature, value).
+
+        Along the trees' paths for tree classifiers; coefficient times value for the logistic one.
+        """
+        if self.kind == "logistic_regression":
+            rows = self.models[0].coefficientMatrix.toArray()
+            parts = F.array(*[
+                F.zip_with(vector_to_array("features"), F.array(*[F.lit(float(w)) for w in row]), lambda x, w: x * w) for row in rows
+            ])
+            return df.withColumn(out, trees.strongest(parts, features, k))
+        told = trees.contributions(df, self.ensemble(), "_contributions")
+        return told.withColumn(out, trees.strongest(F.col("_contributions"), features, k)).drop("_contributions")
+
+
+def _codes(margins: np.ndarray, two: bool) -> np.ndarray:
+    return (margins[:, 0] > 0).astype(int) if two else margins.argmax(axis=1)
+
 
 def _apply(df: DataFrame, model: Any, out: str) -> DataFrame:
     keep = [c for c in df.columns if c not in ("rawPrediction", "probability", "prediction")]
@@ -123,22 +167,30 @@ def fit(
     elif kind == "decision_tree":
         models = (DecisionTreeClassifier(**{"maxDepth": 5, "seed": specs.SEED, **params}, **common).fit(train),)
     elif kind == "boosted_trees":
-        options = {"maxIter": 200, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8,
-                   "seed": specs.SEED, **params}
-        if len(classes) == 2:
-            models = (GBTClassifier(**options, **common).fit(train),)
-        else:
-            models = tuple(
-                GBTClassifier(**options, **common).fit(
-                    train.withColumn("label", (F.col("label") == i).cast("double"))
-                )
-                for i in range(len(classes))
-            )
+        ensemble = boosting.fit(train, len(classes), [boosted_params(params)], row_key(), weight=F.col("weight"))[0]
+        width = len(train.select(vector_to_array("features").alias("v")).first()["v"])
+        models = (boosting.Boosted(ensemble, len(classes), width),)
     else:
         raise ValueError(f"unknown classifier {kind}")
     return Classifier(kind, tuple(classes), models, params)
 
 
+#: Options of the boosted trees under the names that the other classifiers' options follow.
+BOOSTED_NAMES = {
+    "maxIter": "rounds", "maxDepth": "depth", "stepSize": "step", "subsamplingRate": "rows", "featureShare": "columns",
+    "regAlpha": "alpha", "regLambda": "lambda_", "minChildWeight": "min_child_weight",
+}
+
+
+def boosted_params(params: Mapping[str, Any]) -> boosting.Params:
+    return boosting.Params(**{BOOSTED_NAMES[k]: v for k, v in params.items()})
+
+
+def row_key() -> Column:
+    """What a row's draws depend on."""
+    return F.concat_ws(",", F.col("label").cast("string"), F.array_join(vector_to_array("features").cast("array<string>"), ","))
+
+
 def grid(kind: str, choices: Mapping[str, Sequence[Any]] | None = None) -> list[dict[str, Any]]:
     options = choices if choices is not None else GRIDS[kind]
     return [dict(zip(options, values, strict=True)) for values in product(*options.values())]
@@ -147,6 +199,31 @@ def grid(kind: str, choices: Mapping[str, Sequence[Any]] | None = None) -> list[
 Folds = Iterable[tuple[DataFrame, DataFrame]]
 
 
+@dataclass(frozen=True)
+class SlotFolds:
+    """Folds over rows with a slot: which slots train and which validate each fold. Iterating gives the frames."""
+
+    rows: DataFrame
+    slot: str
+    parts: tuple[tuple[frozenset[int], frozenset[int]], ...]
+
+    def __iter__(self) -> Iterator[tuple[DataFrame, DataFrame]]:
+        for train, held in self.parts:
+            yield self.rows.where(F.col(self.slot).isin(*train)), self.rows.where(F.col(self.slot).isin(*held))
+
+    @property
+    def held_slots(self) -> list[int] | None:
+        """The one slot that each fold holds out, if all others train it."""
+        every = frozenset().union(*(a | b for a, b in self.parts))
+        whole = all(len(held) == 1 and train == every - held for train, held in self.parts)
+        return [next(iter(held)) for _, held in self.parts] if whole else None
+
+
+def k_folds(rows: DataFrame, slot: str, k: int = 5) -> SlotFolds:
+    """Each of the slots 0 .. k-1 held out once."""
+    return SlotFolds(rows, slot, tuple((frozenset(range(k)) - {i}, frozenset([i])) for i in range(k)))
+
+
 def hash_folds(df: DataFrame, fold: Column, k: int = 5) -> list[tuple[DataFrame, DataFrame]]:
     marked = df.withColumn("_fold", fold)
     return [
@@ -156,31 +233,74 @@ def hash_folds(df: DataFrame, fold: Column, k: int = 5) -> list[tuple[DataFrame,
 
 
 def cross_validate(
-    kind: str, folds: Folds, classes: Sequence[str], params: Mapping[str, Any]
+    kind: str, folds: Folds, classes: Sequence[str], params: Mapping[str, Any], balance: str = "weights"
 ) -> float | None:
-    """Mean macro F1 over the folds; folds whose training part has one class are skipped."""
+    """Mean macro F1 over the folds; folds whose training part has one class are skipped.
+
+    Rows are balanced inside each training part, never in what it is checked on.
+    """
 
     def one(fold: tuple[DataFrame, DataFrame]) -> float | None:
         train, val = fold
         if train.select("label").distinct().count() < 2 or val.isEmpty():
             return None
-        model = fit(kind, train, classes, **params)
+        model = fit(kind, train, classes, balance, **params)
         return metrics.macro_f1(model.predict(val), "_class", "pred")
 
     scores = [s for s in in_parallel(one, folds) if s is not None]
     return sum(scores) / len(scores) if scores else None
 
 
+def grid_scores(
+    kind: str, folds: Folds, classes: Sequence[str], choices: Mapping[str, Sequence[Any]] | None = None, balance: str = "weights"
+) -> list[tuple[dict[str, Any], float | None]]:
+    """Mean macro F1 of every grid point.
+
+    With slots, all folds and grid points of the logistic regression and of the boosted trees are trained in the same
+    passes; other searches fit one after another.
+    """
+    points = grid(kind, choices)
+    if isinstance(folds, SlotFolds) and balance != "oversample":
+        if kind == "logistic_regression" and all(set(p) <= {"C"} for p in points):
+            strengths = [float(p.get("C", 1.0)) for p in points]
+            found = newton.search(folds.rows, folds.slot, folds.parts, strengths, len(classes), balance == "weights").groupBy(
+                "c").agg(F.avg("f1_macro").alias("f1")).collect()
+            by_strength = {r["c"]: float(r["f1"]) for r in found}
+            return [(p, by_strength.get(c)) for p, c in zip(points, strengths, strict=True)]
+        if kind == "boosted_trees" and folds.held_slots is not None:
+            return _boosted_scores(folds, points, len(classes), balance == "weights")
+    return [(p, cross_validate(kind, folds, classes, p, balance)) for p in points]
+
+
+def _boosted_scores(folds: SlotFolds, points: Sequence[dict[str, Any]], n_classes: int, balanced: bool) -> list[tuple[dict[str, Any], float | None]]:
+    """Every grid point and fold in the same jobs."""
+    rows = newton.slot_rows(folds.rows, folds.slot)
+    held = folds.held_slots
+    weights = newton.class_weights(rows, newton.fold_models([1.0], folds.parts), n_classes)
+    candidates = [
+        replace(boosted_params(p), held=slot, class_weights=tuple(weights[i]) if balanced else None)
+        for p in points for i, slot in enumerate(held)
+    ]
+    fitted = boosting.fit(folds.rows, n_classes, candidates, row_key(), F.col(folds.slot))
+    classify = [
+        (lambda x, e=e: (e.score(x)[:, 0] > 0).astype(int)) if n_classes == 2 else (lambda x, e=e: e.score(x).argmax(axis=1)) for e in fitted
+    ]
+    table = newton.slot_confusions(rows, [[c.held] for c in candidates], classify)
+    found = {r["model"]: float(r["f1_macro"]) for r in metrics.report(table, ["model"]).collect()}
+    k = len(held)
+    means = []
+    for at, point in enumerate(points):
+        own = [found[m] for m in range(at * k, (at + 1) * k) if m in found]
+        means.append((point, sum(own) / len(own) if own else None))
+    return means
+
+
 def search(
-    kind: str,
-    folds: Sequence[tuple[DataFrame, DataFrame]],
-    classes: Sequence[str],
-    choices: Mapping[str, Sequence[Any]] | None = None,
+    kind: str, folds: Folds, classes: Sequence[str], choices: Mapping[str, Sequence[Any]] | None = None, balance: str = "weights"
 ) -> tuple[dict[str, Any], float]:
     """The first grid point with the best mean macro F1."""
     best, best_score = {}, -1.0
-    for params in grid(kind, choices):
-        score = cross_validate(kind, folds, classes, params)
+    for params, score in grid_scores(kind, folds, classes, choices, balance):
         if score is not None and score > best_score:
             best, best_score = params, score
     return best, best_score
@@ -190,15 +310,16 @@ def train_all(
     train: DataFrame,
     test: DataFrame,
     classes: Sequence[str],
-    folds: Sequence[tuple[DataFrame, DataFrame]],
+    folds: Folds,
     choices: Mapping[str, Mapping[str, Sequence[Any]]] | None = None,
+    balance: str = "weights",
 ) -> tuple[dict[str, Classifier], DataFrame]:
     """Search and refit each classifier; returns them with one result row each."""
     fitted: dict[str, Classifier] = {}
     rows = []
     for kind in choices if choices is not None else GRIDS:
-        params, cv_f1 = search(kind, folds, classes, None if choices is None else choices[kind])
-        fitted[kind] = fit(kind, train, classes, **params)
+        params, cv_f1 = search(kind, folds, classes, None if choices is None else choices[kind], balance)
+        fitted[kind] = fit(kind, train, classes, balance, **params)
         row = metrics.evaluate(fitted[kind].predict(test), (), "_class", "pred").collect()[0]
         rows.append((
             kind, str(params), float(cv_f1), float(row["f1_macro"]), float(row["accuracy"]),

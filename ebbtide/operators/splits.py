@@ -63,6 +63,17 @@ def walk_forward(
         yield train, df.where((t >= F.lit(periods[c])) & (t <= F.lit(periods[d - 1])))
 
 
+def walk_forward_slots(
+    df: DataFrame, time_col: str, min_train: int = 6, val_periods: int = 1, expanding: bool = True
+) -> tuple[DataFrame, list[tuple[range, range]]]:
+    """(rows with ``_slot``, the rank of their period; the ranks that train and validate each fold)."""
+    periods = periods_of(df, time_col)
+    ranks = df.sparkSession.createDataFrame(list(enumerate(periods)), ["_slot", "_of"])  # a row per period
+    rows = df.join(F.broadcast(ranks), F.col(time_col) == F.col("_of")).drop("_of")
+    bounds = fold_bounds(len(periods), min_train, val_periods, expanding)
+    return rows, [(range(a, b), range(c, d)) for a, b, c, d in bounds]
+
+
 def fold_roles(
     ranked: DataFrame, n_periods: Column, min_train: int = 6, val_periods: int = 1
 ) -> DataFrame:

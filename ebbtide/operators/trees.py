@@ -38,6 +38,13 @@ class Ensemble:
     left: np.ndarray
     right: np.ndarray
     value: np.ndarray
+    gain: np.ndarray | None = None
+
+    def importances(self, width: int) -> np.ndarray:
+        """Share of all gain that each feature's splits have."""
+        inner = self.feature >= 0
+        total = np.bincount(self.feature[inner], weights=self.gain[inner], minlength=width)
+        return total / max(total.sum(), 1e-300)
 
     @property
     def outputs(self) -> int:

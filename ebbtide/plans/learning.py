@@ -7,21 +7,17 @@ from pyspark.sql import functions as F
 
 from ebbtide import specs
 from ebbtide.operators import (
-    audit, balancing, batch, calibration, fusion, metrics, models, prep, splits, tuning,
+    audit, balancing, batch, calibration, fusion, metrics, models, newton, prep, scoring, splits, tuning,
 )
 from ebbtide.plans.base import Tables, query
 from ebbtide.plans.shape import portable
 from ebbtide.plans.summaries import union
 from ebbtide.session import cut_lineage
 
-# Small grids keep the check short; the full grids are the library's defaults.
-BOOSTED = {"maxIter": 10, "maxDepth": 3}
-FOREST = {"numTrees": 20, "maxDepth": 6}
-CHOICES = {
-    "boosted_trees": {"maxIter": (10,), "maxDepth": (3,)},
-    "random_forest": {"numTrees": (20,), "maxDepth": (4, 6)},
-    "logistic_regression": {"C": (0.1, 1.0)},
-}
+#: Of each family the library's default in the comparison; the strengths of the logistic regression are all searched.
+#: ``models.GRIDS`` has the whole grids (README says what they take).
+DEFAULTS = {"boosted_trees": {"maxIter": (200,)}, "random_forest": {"numTrees": (200,)}, "logistic_regression": models.GRIDS["logistic_regression"]}
+HELD_PERIODS = 3
 _KEPT: dict[tuple, object] = {}
 
 
@@ -39,7 +35,7 @@ def sales_panel(t: Tables) -> DataFrame:
 
 def prepared(t: Tables, binary: bool = True) -> prep.Prepared:
     def make() -> prep.Prepared:
-        out = prep.prepare(sales_panel(t), specs.SALES, binary=binary, test_periods=12)
+        out = prep.prepare(sales_panel(t), specs.SALES, binary=binary, test_periods=HELD_PERIODS)
         return prep.replace_frames(out, cut_lineage(out.train), cut_lineage(out.test))
 
     return kept(t, f"prepared-{binary}", make)
@@ -49,36 +45,43 @@ def folds(t: Tables, k: int = 5):
     def make() -> DataFrame:
         return cut_lineage(splits.stratified_folds(prepared(t).train, "label", ["_id", "_period"], k))
 
-    return models.hash_folds(kept(t, f"folds-{k}", make), F.col("_fold"), k)
+    return models.k_folds(kept(t, f"folds-{k}", make), "_fold", k)
 
 
 def forest(t: Tables) -> models.Classifier:
     p = prepared(t)
-    return kept(t, "forest", lambda: models.fit("random_forest", p.train, p.classes, **FOREST))
+    return kept(t, "forest", lambda: models.fit("random_forest", p.train, p.classes))
 
 
 def scored(t: Tables) -> DataFrame:
     return forest(t).predict(prepared(t).test)
 
 
+def boosted(t: Tables) -> models.Classifier:
+    p = prepared(t)
+    return kept(t, "boosted", lambda: models.fit("boosted_trees", p.train, p.classes))
+
+
+def trained(t: Tables):
+    """Every family searched and refitted: ({kind: classifier}, result rows)."""
+    p = prepared(t)
+    return kept(t, "all", lambda: models.train_all(p.train, p.test, p.classes, folds(t), DEFAULTS))
+
+
 def _cv(t: Tables, kind: str) -> DataFrame:
-    rows = []
-    for params in models.grid(kind, CHOICES[kind]):
-        rows.append((kind, str(params), models.cross_validate(kind, folds(t), prepared(t).classes, params)))
+    rows = [(kind, str(params), score) for params, score in models.grid_scores(kind, folds(t), prepared(t).classes)]
     return portable(t.spark.createDataFrame(rows, "model string, params string, cv_f1 double"))
 
 
 @query("m1_boosted_trees")
 def _(t: Tables):
-    p = prepared(t)
-    model = models.fit("boosted_trees", p.train, p.classes, **BOOSTED)
-    return portable(metrics.evaluate(model.predict(p.test), (), "_class", "pred"))
+    return portable(metrics.evaluate(boosted(t).predict(prepared(t).test), (), "_class", "pred"))
 
 
 @query("m1_boosted_trees_three_classes")
 def _(t: Tables):
     p = prepared(t, binary=False)
-    model = models.fit("boosted_trees", p.train, p.classes, **BOOSTED)
+    model = models.fit("boosted_trees", p.train, p.classes)
     return portable(metrics.per_class(metrics.confusion(model.predict(p.test), "_class", "pred")))
 
 
@@ -90,7 +93,8 @@ def _(t: Tables):
 @query("m3_logistic_regression")
 def _(t: Tables):
     p = prepared(t)
-    model = models.fit("logistic_regression", p.train, p.classes, C=1.0)
+    best, _ = models.search("logistic_regression", folds(t), p.classes)
+    model = models.fit("logistic_regression", p.train, p.classes, **best)
     return portable(metrics.evaluate(model.predict(p.test), (), "_class", "pred"))
 
 
@@ -101,25 +105,21 @@ def _(t: Tables):
 
 @query("m5_train_all_models")
 def _(t: Tables):
-    p = prepared(t)
-    _, table = kept(t, "all", lambda: models.train_all(p.train, p.test, p.classes, folds(t), CHOICES))
-    return portable(table)
+    return portable(trained(t)[1])
 
 
 @query("m6_grid_search")
 def _(t: Tables):
-    return _cv(t, "random_forest")
+    return _cv(t, "logistic_regression")
 
 
 @query("m6_walk_forward_search")
 def _(t: Tables):
+    """Every expanding fold and every strength, trained in the same passes."""
     p = prepared(t)
-    parts = list(splits.walk_forward(p.train, "_period", min_train=6, val_periods=1))
-    scores = models.in_parallel(
-        lambda part: models.cross_validate("logistic_regression", [part], p.classes, {"C": 1.0}), parts
-    )
-    rows = list(enumerate(scores))
-    return portable(t.spark.createDataFrame(rows, "fold int, f1_macro double"))
+    ranks, parts = splits.walk_forward_slots(p.train, "_period", min_train=6, val_periods=1)
+    found = newton.search(ranks, "_slot", parts, models.GRIDS["logistic_regression"]["C"], len(p.classes))
+    return portable(found)
 
 
 @query("m7_shallow_tree_probe")
@@ -148,7 +148,7 @@ def _(t: Tables):
 def _calibrated(t: Tables, method: str) -> DataFrame:
     p = prepared(t)
     rest, held = splits.stratified_split(p.train, "_class", ["_id", "_period"], 0.2)
-    model = models.fit("random_forest", rest, p.classes, **FOREST)
+    model = models.fit("random_forest", rest, p.classes)
     cal = calibration.fit_calibrator(model.predict(held), p.classes, method)
     out = prep.encode_label(cal.apply(model.predict(p.test)), "_class", p.classes, "y_index")
     parts = []
@@ -186,7 +186,7 @@ def branch(t: Tables, source: str) -> prep.Prepared:
     spec = specs.SOURCES[source]
 
     def make() -> prep.Prepared:
-        out = prep.prepare(cut_lineage(t.labelled(source, "brand")), spec, binary=True, test_periods=12)
+        out = prep.prepare(cut_lineage(t.labelled(source, "brand")), spec, binary=True, test_periods=HELD_PERIODS)
         return prep.replace_frames(out, cut_lineage(out.train), cut_lineage(out.test))
 
     return kept(t, f"branch-{source}", make)
@@ -196,7 +196,7 @@ def out_of_fold(t: Tables, source: str) -> DataFrame:
     def make() -> DataFrame:
         p = branch(t, source)
         train = cut_lineage(splits.stratified_folds(p.train, "label", ["_id", "_period"], 5))
-        return cut_lineage(models.out_of_fold("random_forest", train, p.classes, F.col("_fold"), 5, numTrees=10, maxDepth=5))
+        return cut_lineage(models.out_of_fold("random_forest", train, p.classes, F.col("_fold"), 5))
 
     return kept(t, f"oof-{source}", make)
 
@@ -208,15 +208,14 @@ def fusion_table(t: Tables) -> DataFrame:
         parts = {s: out_of_fold(t, s).select(key, "p") for s in ("reviews", "sales")}
         joined = fusion.join_branches(parts, "key", "p", 2)
         truth = out_of_fold(t, "sales").select(key, "_class", "label")
-        return cut_lineage(joined.join(truth, "key"))
+        return cut_lineage(splits.stratified_folds(joined.join(truth, "key"), "label", ["key"], 5))
 
     return kept(t, "fusion", make)
 
 
 def fused(t: Tables) -> fusion.FusionModel:
     return kept(t, "fused", lambda: fusion.train_fusion(
-        fusion_table(t), ("reviews", "sales"), specs.BINARY_CLASSES, specs.BINARY_CLASSES,
-        splits.fold_column(["key"], 5), 5, BOOSTED,
+        fusion_table(t), ("reviews", "sales"), specs.BINARY_CLASSES, specs.BINARY_CLASSES, "_fold", 5,
     ))
 
 
@@ -233,9 +232,21 @@ def _(t: Tables):
     return portable(t.spark.createDataFrame(rows, "model string, cv_f1 double, champion boolean"))
 
 
+def held_out_branches(t: Tables) -> DataFrame:
+    """The branches' probabilities for the held-out periods, from models fitted on the others."""
+    key = F.concat_ws("|", "_id", F.col("_period").cast("string")).alias("key")
+    parts = {}
+    for source in ("reviews", "sales"):
+        p = branch(t, source)
+        model = forest(t) if source == "sales" else kept(t, f"forest-{source}", lambda p=p: models.fit("random_forest", p.train, p.classes))
+        parts[source] = model.predict(p.test).select(key, "p")
+    return fusion.join_branches(parts, "key", "p", 2)
+
+
 @query("x8_fused_prediction")
 def _(t: Tables):
-    out = fused(t).predict(fusion_table(t))
+    """Fused classes of the held-out periods."""
+    out = fused(t).predict(held_out_branches(t))
     return portable(out.select(
         "key", "pred", "fused_probability", "confidence_band", "uncertainty_flag",
         F.col("branch_predictions")["sales"]["fatigue_class"].alias("sales_class"),
@@ -247,7 +258,7 @@ def scorer(t: Tables) -> batch.Scorer:
     def make() -> batch.Scorer:
         p = prepared(t)
         rest, held = splits.stratified_split(p.train, "_class", ["_id", "_period"], 0.2)
-        model = models.fit("random_forest", rest, p.classes, **FOREST)
+        model = models.fit("random_forest", rest, p.classes)
         on_held = cut_lineage(model.predict(held))
         cal = calibration.fit_calibrator(on_held, p.classes)
         adjusted = cal.apply(on_held)
@@ -296,6 +307,44 @@ def _(t: Tables):
     return portable(audit.linear_contributions(model, p.test, p.features))
 
 
+@query("e9_path_contributions")
+def _(t: Tables):
+    """The five features that move each held-out row's boosted score most, along the paths of its trees."""
+    p = prepared(t)
+    told = boosted(t).explain(p.test, p.features)
+    parts = told.select("_id", "_period", F.posexplode("top_features").alias("at", "top"))
+    return portable(parts.select(
+        F.col("_id").alias("product"), F.col("_period").alias("month"), (F.col("at") + 1).alias("position"), "top.feature", "top.value",
+    ))
+
+
+@query("x18_alerts_of_scored_rows")
+def _(t: Tables):
+    """Alerts of the batch scorer's rows: its warnings, completeness and top contributions."""
+    out = scorer(t).score(scoring_rows(t))
+    named = F.transform("top_features", lambda f: f["feature"])
+    return portable(out.select(
+        "StockCode", "month", F.array_join(scoring.alerts("sales", F.col("warnings"), F.col("completeness"), named), " | ").alias("alerts"),
+        F.array_join(scoring.actions("sales"), " | ").alias("actions"),
+    ))
+
+
+@query("x21_trajectory_of_scored_rows")
+def _(t: Tables):
+    """The last twelve scored months of each product, their trend and the band around the score."""
+    out = scoring.trajectory(scorer(t).score(scoring_rows(t)), "StockCode", "month", 12)
+    return portable(out.select(
+        "StockCode", "month", "risk_score", "trend_vs_last_period", "score_low", "score_high", "above_moderate_line", "above_high_line",
+    ))
+
+
+@query("x25_drivers_of_scored_rows")
+def _(t: Tables):
+    """Top contributions of each scored row by absolute size, with their width."""
+    out = scorer(t).score(scoring_rows(t)).select("StockCode", "month", F.inline("top_features"))
+    return portable(scoring.ranked_drivers(out, ["StockCode", "month"], "feature", "value"))
+
+
 @query("t4_top_features")
 def _(t: Tables):
     rows = forest(t).importances(prepared(t).features)[:20]
@@ -351,7 +400,7 @@ def _(t: Tables):
     rows = scoring_rows(t)
     names = [c for c in s.required if c in rows.columns]
     key = F.concat_ws("|", "StockCode", F.col("month").cast("string"))
-    return portable(audit.perturbation_sensitivity(s.score, rows, names, key))
+    return portable(audit.perturbation_sensitivity(lambda df: s.score(df, explained=False), rows, names, key))
 
 
 @query("r10_ablation_definitions")
@@ -371,13 +420,13 @@ def _(t: Tables):
 @query("r8_audit_verdict")
 def _(t: Tables):
     p = prepared(t)
+    table = trained(t)[1]
     probe = audit.proxy_probe(p).select(
         F.when(F.col("verdict") == "FAIL", "HIGH").when(F.col("verdict") == "WARN", "MEDIUM").otherwise("LOW").alias("severity"),
         F.lit("leakage").alias("component"),
     )
     key = F.concat_ws("|", "_id", F.col("_period").cast("string"))
     stability = audit.bootstrap(scored(t), key, 10, "_class", "pred").select("stability").scalar()
-    _, table = kept(t, "all", lambda: models.train_all(p.train, p.test, p.classes, folds(t), CHOICES))
     return portable(audit.verdict(probe, metrics.performance_status(table), stability))
 
 

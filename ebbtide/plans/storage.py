@@ -248,9 +248,35 @@ def _(t: Tables):
     return portable(runs.compare(log, 30).select("timestamp", "model", "test_f1", "is_best"))
 
 
+def training_log(t: Tables):
+    """The runs of the training and fusion queries, each committed once."""
+    path = learning.kept(t, "run-log", lambda: scratch_path(t.spark, "training-runs"))
+    p = learning.prepared(t)
+    size = {"n_features": len(p.features), "n_train": p.train.count(), "n_test": p.test.count()}
+    for row in learning.trained(t)[1].collect():
+        run = {
+            "modality": "sales", "model": row["model"], "cv_f1": row["cv_f1"], "test_f1": row["test_f1"],
+            "balanced_accuracy": row["balanced_accuracy"], "macro_recall": row["macro_recall"], "best_params": {"params": row["params"]}, **size,
+        }
+        runs.append(runs.run_rows(t.spark, [run]), path, f"sales-{row['model']}")
+    for kind, score in learning.fused(t).cv_f1.items():
+        runs.append(runs.run_rows(t.spark, [{"modality": "fusion", "model": kind, "cv_f1": float(score)}]), path, f"fusion-{kind}")
+    return runs.read(t.spark, path)
+
+
+@query("s14_logged_training_runs")
+def _(t: Tables):
+    return portable(training_log(t).select("modality", "model", "n_features", "n_train", "n_test", "cv_f1", "test_f1", "cv_test_gap", "balanced_accuracy"))
+
+
+@query("r14_compared_training_runs")
+def _(t: Tables):
+    return portable(runs.compare(training_log(t), 30, "model").select("modality", "model", "cv_f1", "test_f1", "is_best"))
+
+
 @query("x23_model_status")
 def _(t: Tables):
-    return portable(runs.status(run_log(t)))
+    return portable(runs.status(training_log(t)))
 
 
 @query("s16_model_store")

@@ -84,6 +84,7 @@ CANDIDATES = [
 @pytest.mark.parametrize("n_classes", [2, 3])
 def test_matches_plain_boosting(spark, frame, data, n_classes, monkeypatch):
     monkeypatch.setattr(boosting, "STORE_EVERY", 4)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 150 if n_classes == 2 else 1000)
     x, label, _ = data
     label = np.minimum(label, n_classes - 1)
     df = frame.withColumn("label", F.least("label", F.lit(n_classes - 1.0)))

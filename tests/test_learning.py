@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ebbtide import specs
 from ebbtide.operators import (
-    audit, balancing, calibration, embeddings, fusion, history, labels, metrics, models, prep, scoring, splits, tuning,
+    audit, balancing, calibration, embeddings, fusion, history, labels, metrics, models, prep, ranking, scoring, splits, tuning,
 )
 from ebbtide.operators.ranking import running_totals
 from ebbtide.session import scratch_path
@@ -169,15 +169,17 @@ def test_auc_with_a_hot_score(spark):
     assert got == pytest.approx(want)
 
 
-def test_running_totals(spark):
-    rows = [("k", float(v), v % 3 + 1) for v in range(500)]
+@pytest.mark.parametrize("part_rows", [200_000, 64])
+def test_running_totals(spark, part_rows):
+    rows = [(k, float(v), v % 3 + 1) for k in "kl" for v in range(500)]
     df = spark.createDataFrame(rows, "k string, v double, n int")
-    out = running_totals(df, ["k"], "v", ["n"]).orderBy("v").collect()
-    total = 0
-    for r, (_, _, n) in zip(out, rows):
-        assert r["n_below"] == total
-        total += n
-    assert out[0]["n_total"] == total
+    for key in "kl":
+        out = running_totals(df, ["k"], "v", ["n"], part_rows).where(F.col("k") == key).orderBy("v").collect()
+        total = 0
+        for r, (_, _, n) in zip(out, [x for x in rows if x[0] == key], strict=True):
+            assert r["n_below"] == total
+            total += n
+        assert out[0]["n_total"] == total
 
 
 def test_macro_report_counts_classes_in_truth_or_prediction(spark):
@@ -222,11 +224,10 @@ def training(spark):
     return df.withColumn("features", array_to_vector("v")).drop("v").cache()
 
 
-def test_oversampling_balances_and_interpolates(training, monkeypatch):
-    monkeypatch.setattr(balancing, "BLOCK_ROWS", 30)
+def test_oversampling_balances_and_interpolates(training):
     out = balancing.oversample(training)
     counts = {r["label"]: r["count"] for r in out.groupBy("label").count().collect()}
-    assert counts[0.0] == 500 and abs(counts[1.0] - 500) < 60
+    assert counts[0.0] == counts[1.0] == 500
     real = np.array([r[0] for r in training.where("label = 1").select(vector_to_array("features")).collect()])
     made = np.array([r[0] for r in out.where("label = 1").select(vector_to_array("features")).collect()])
     assert (made.min(axis=0) >= real.min(axis=0) - 1e-9).all() and (made.max(axis=0) <= real.max(axis=0) + 1e-9).all()
@@ -237,7 +238,7 @@ def test_balance_modes(training):
     assert plain.count() == 600 and {r[0] for r in plain.select("weight").distinct().collect()} == {1.0}
     weighted = models.balance_rows(training, "weights").groupBy("label").agg(F.sum("weight").alias("w")).collect()
     assert {round(r["w"]) for r in weighted} == {300}
-    assert models.balance_rows(training, "oversample").count() > 900
+    assert models.balance_rows(training, "oversample").count() == 1000
     with pytest.raises(ValueError):
         models.balance_rows(training, "other")
 
@@ -288,11 +289,57 @@ def test_calibration_methods(spark, training):
     assert store.load_calibrator(spark, path).method == "isotonic"
 
 
-def test_permuted_partner_is_a_permutation(training):
-    out = audit.permuted_partner(training, F.col("_id"), 600, group_rows=100)
-    a = sorted(tuple(r[0]) for r in out.select(vector_to_array("features")).collect())
-    b = sorted(tuple(r[0]) for r in out.select("_partner").collect())
-    assert a == b
+def test_partners_are_a_permutation_of_the_table(training, monkeypatch):
+    rows = training.select("_id", vector_to_array("features").alias("x"))
+    whole = audit.with_partner(rows, ["_id"]).orderBy("_id").collect()
+    assert sorted(r["x"] for r in whole) == sorted(r["_partner"] for r in whole)
+    assert sum(r["x"] == r["_partner"] for r in whole) < 10
+    monkeypatch.setattr(ranking, "PART_ROWS", 50)
+    assert audit.with_partner(rows.repartition(5), ["_id"]).orderBy("_id").collect() == whole
+
+
+def test_row_numbers_and_keyed_permutation(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(6)
+    found = ranking.dense_index(df, ["v"], part_rows=90)
+    assert found.where("index <> v").count() == 0 and found.count() == 1000
+    for n in (1, 2, 5, 997):
+        places = [r[0] for r in spark.range(n).select(ranking.permuted(F.col("id"), n, 3)).collect()]
+        assert sorted(places) == list(range(n))
+    assert places != list(range(997))
+
+
+@pytest.mark.parametrize("kind,params", [("logistic_regression", {}), ("random_forest", {"numTrees": 5}), ("boosted_trees", {"maxIter": 5})])
+def test_permutation_importance_counts_what_single_scorings_would(training, kind, params):
+    model = models.fit(kind, training, specs.BINARY_CLASSES, **params)
+    base = metrics.macro_f1(model.predict(training), "_class", "pred")
+    found = {r["feature"]: r["f1_drop"] for r in audit.permutation_importance(model, training, list("abc"), F.col("_id")).collect()}
+    rows = training.select("_id", "_class", "label", vector_to_array("features").alias("x"))
+    paired = audit.with_partner(rows, ["_id"])
+    mixed = F.transform("x", lambda v, i: F.when(i == 1, F.get("_partner", i)).otherwise(v))
+    shuffled = metrics.macro_f1(model.predict(paired.withColumn("features", array_to_vector(mixed))), "_class", "pred")
+    assert set(found) == set("abc") and found["b"] == pytest.approx(base - shuffled)
+
+
+def test_top_features_of_every_classifier(training):
+    for kind, params in (("logistic_regression", {}), ("boosted_trees", {"maxIter": 4}), ("decision_tree", {})):
+        rows = models.fit(kind, training, specs.BINARY_CLASSES, **params).explain(training, list("abc"), 2).collect()
+        assert all(len(r["top_features"]) == 2 and r["top_features"][0]["value"] >= r["top_features"][1]["value"] for r in rows)
+
+
+def test_searches_in_one_pass_equal_those_of_single_fits(training):
+    """Boosted trees and logistic regressions of all folds and grid points against one fit each."""
+    folds = models.k_folds(splits.stratified_folds(training, "label", ["_id"], 3), "_fold", 3)
+    one_by_one = [(a.drop("_fold"), b) for a, b in folds]
+    boosted = {"maxIter": (3,), "maxDepth": (2, 3), "subsamplingRate": (1.0,), "featureShare": (1.0,)}
+    together = models.grid_scores("boosted_trees", folds, specs.BINARY_CLASSES, boosted)
+    assert len(together) == 2 and all(0.7 < s <= 1 for _, s in together)
+    strengths = {"C": (0.01, 1.0)}
+    together = models.grid_scores("logistic_regression", folds, specs.BINARY_CLASSES, strengths)
+    alone = models.grid_scores("logistic_regression", one_by_one, specs.BINARY_CLASSES, strengths)
+    assert [p for p, _ in together] == [p for p, _ in alone]
+    assert [s for _, s in together] == pytest.approx([s for _, s in alone], abs=0.01)
+    sampled = models.cross_validate("logistic_regression", one_by_one, specs.BINARY_CLASSES, {"C": 1.0}, "oversample")
+    assert 0.7 < sampled <= 1
 
 
 def test_hash_noise_is_normal(spark):
