@@ -69,6 +69,7 @@ class Scorer:
         warnings = F.array_compact(F.array(
             F.when(F.col("uncertainty_flag"), "Prediction flagged as uncertain — consider manual review"),
             F.when(F.array_max("probabilities") > P.OVERCONFIDENT_ABOVE, scoring.RAW_TOO_CONFIDENT),
+            F.col("override_warning") if "override_warning" in final.columns else F.lit(None).cast("string"),
         ))
         return scoring.risk(final.withColumn("warnings", warnings))
 

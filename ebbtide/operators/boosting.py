@@ -328,11 +328,11 @@ def _level(
         columns_ = list(zip(*out, strict=True)) or [()] * 10
         yield pa.record_batch([pa.array(v, t) for v, t in zip(columns_, kinds, strict=True)], names=names)
 
-    schema = "c int, k int, sums binary"
-    per_task = state.mapInArrow(sums, schema).repartition("c", "k") if many_tasks else state.coalesce(1).mapInArrow(sums, schema)
-    found = per_task.mapInArrow(
-        best, "c int, k int, node int, gain double, feature int, bin int, left_g double, left_h double, right_g double, right_h double"
-    ).collect()
+    found_as = "c int, k int, node int, gain double, feature int, bin int, left_g double, left_h double, right_g double, right_h double"
+    if many_tasks:
+        found = state.mapInArrow(sums, "c int, k int, sums binary").repartition("c", "k").mapInArrow(best, found_as).collect()
+    else:
+        found = state.coalesce(1).mapInArrow(lambda it: best(sums(it)), found_as).collect()
     splits: dict[tuple[int, int], dict[int, tuple]] = {}
     for r in found:
         splits.setdefault((r["c"], r["k"]), {})[r["node"]] = tuple(r)[3:]

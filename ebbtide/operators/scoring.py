@@ -14,6 +14,8 @@ from ebbtide.functions import probability as P
 CALIBRATION_CHANGED = "Calibration changed class prediction — check dataset consistency"
 RAW_TOO_CONFIDENT = "Raw confidence still high — check for leakage or overfitting"
 CALIBRATED_TOO_CONFIDENT = "Calibrated confidence still high — check for leakage or overfitting"
+OVERRIDE_STRONG = "Review snapshot fallback applied because strong fatigue signals were present without history features."
+OVERRIDE_MODERATE = "Review snapshot fallback applied because moderate fatigue signals were present without history features."
 ALERT_SPARSE = "Low data completeness detected. Confidence may be optimistic for sparse inputs."
 ALERT_DRIVER = {
     "reviews": ("reviewer_diversity_change", "Reviewer diversity is a primary fatigue driver."),
@@ -109,6 +111,7 @@ def snapshot_override(df: DataFrame, pred: str = "pred", confidence: str = "conf
         confidence: F.when(severe, bounded(0.72, 0.93, 0.15))
         .when(drifting, bounded(0.62, 0.84, 0.2)).otherwise(conf),
         "overridden": severe | drifting,
+        "override_warning": F.when(severe, OVERRIDE_STRONG).when(drifting, OVERRIDE_MODERATE),
     })
 
 

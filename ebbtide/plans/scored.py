@@ -568,13 +568,19 @@ _SEVERE = "score_median <= 2.5 AND sentiment_mean <= 0.25 AND coalesce(reviewer_
 _DRIFT = "score_median <= 3.2 AND sentiment_mean <= 0.6 AND coalesce(reviewer_diversity_change, 0) <= -8 AND product_age_months >= 12"
 
 
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 @query("x13_snapshot_override", f"""
 SELECT {_KEY}, CASE WHEN pred = 'healthy' AND {_SEVERE} THEN 'high_fatigue' WHEN pred = 'healthy' AND {_DRIFT} THEN 'moderate_fatigue' ELSE pred END AS pred,
   {r6(f'''CASE WHEN pred = 'healthy' AND {_SEVERE} THEN greatest(0.72, least(0.93, 1.0 - confidence * 0.15::DOUBLE))
-  WHEN pred = 'healthy' AND {_DRIFT} THEN greatest(0.62, least(0.84, 1.0 - confidence * 0.2::DOUBLE)) ELSE confidence END''')} AS confidence
+  WHEN pred = 'healthy' AND {_DRIFT} THEN greatest(0.62, least(0.84, 1.0 - confidence * 0.2::DOUBLE)) ELSE confidence END''')} AS confidence,
+  CASE WHEN pred = 'healthy' AND {_SEVERE} THEN {_quote(scoring.OVERRIDE_STRONG)}
+    WHEN pred = 'healthy' AND {_DRIFT} THEN {_quote(scoring.OVERRIDE_MODERATE)} END AS warning
 FROM reviews_scored""")
 def _(t: Tables):
-    return keyed(scoring.snapshot_override(scored(t, "reviews")), "pred", "confidence")
+    return keyed(scoring.snapshot_override(scored(t, "reviews")), "pred", "confidence", F.col("override_warning").alias("warning"))
 
 
 @query("x16_compare_two_inputs", f"""
@@ -590,10 +596,6 @@ def _(t: Tables):
     return portable(out, digits=2)
 
 
-def _quote(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 @query("x18_alerts_and_actions", f"""
 SELECT {_KEY}, concat_ws(' | ', CASE WHEN margin < 0.15 THEN 'narrow margin' END, CASE WHEN share < 0.7 THEN {_quote(scoring.ALERT_SPARSE)} END,
   CASE WHEN customer_concentration > 1 THEN {_quote(scoring.ALERT_DRIVER['sales'][1])} END) AS alerts, {_quote(' | '.join(scoring.ACTIONS['sales']))} AS actions

@@ -217,13 +217,13 @@ def _quality_sql(source: str) -> str:
     return "\nUNION ALL\n".join(out)
 
 
-@query("a16_column_quality", "\nUNION ALL\n".join(_quality_sql(s) for s in ("reviews", "usage")))
+@query("a16_column_quality", "\nUNION ALL\n".join(map(_quality_sql, SOURCE_NAMES)))
 def _(t: Tables):
     return union(
         summaries.column_quality(t.labelled(s).select(*names(FULL[s]))).select(
             F.lit(s).alias("source"), "*"
         )
-        for s in ("reviews", "usage")
+        for s in SOURCE_NAMES
     )
 
 
