@@ -12,8 +12,9 @@
 5. Whole sets of what is left meet in the same units. Candidates must share prefix shingles under order one *and*
    two *and* three; the filters are intersected and every pair that remains is verified, in the unit of the least
    group that both are in: no pair is lost and none is verified twice. Their number is that of the similar pairs,
-   which grows with the square of a group of near copies. Where only components are asked for, sets that verified
-   links already connect are not compared again.
+   which grows with the square of a group of near copies; ``counted_documents`` adds them up inside their unit and
+   hands on a number per set and the links that connect. Where only components are asked for, sets that verified links
+   already connect are not compared again.
 6. Components of the links that join what was apart inside a unit, by least document id.
 
 Bitmaps of ``BITS`` bits over the ids that are still needed, of fixed size too, keep the others out of the
@@ -350,10 +351,11 @@ def unit_links(sets: list[np.ndarray], threshold: Threshold, held: np.ndarray, a
     return [(x, int(y)) for x, linked, _ in unit_pairs(sets, threshold, held, allowed, every=False) for y in linked]
 
 
-def _units(threshold: Threshold, held: np.ndarray | None = None, every: bool = True):
+def _units(threshold: Threshold, held: np.ndarray | None = None, every: bool = True, counted: bool = False):
     """Works on the units (grp, i, j) that a sorted partition holds one after another.
 
-    Gives links, or with no ``held`` the sets that have a partner under order two as (u = group, v = set).
+    Gives links, or with no ``held`` the sets that have a partner under order two as (u = group, v = set). If
+    ``counted``, only links that connect, and per set (u) how many documents its links in this unit lead to (n).
     """
     bands = threshold.bands()
 
@@ -375,6 +377,14 @@ def _units(threshold: Threshold, held: np.ndarray | None = None, every: bool = T
         if not found:
             return _links()
         x, y, connects = map(np.concatenate, zip(*found, strict=True))
+        if counted:
+            copies = np.array([r[9] for r in rows], dtype=np.int64)
+            reached = np.zeros(len(ids), dtype=np.int64)
+            np.add.at(reached, x, copies[y])
+            np.add.at(reached, y, copies[x])
+            of = np.flatnonzero(reached)
+            x, y, connects = x[connects], y[connects], connects[connects]
+            return _links(np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), connects, ids[of], reached[of])
         return _links(np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), connects)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,8 +403,15 @@ def _units(threshold: Threshold, held: np.ndarray | None = None, every: bool = T
     return run
 
 
-def _links(u=(), v=(), connects=()) -> pa.RecordBatch:
-    return pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "connects": pa.array(connects, pa.bool_())})
+def _links(u=(), v=(), connects=(), of=(), reached=()) -> pa.RecordBatch:
+    """Links, then sets (``of``) with the documents they reach."""
+    def padded(values, kind, before, after):
+        return pa.array([*[None] * before, *values, *[None] * after], kind)
+
+    return pa.record_batch({
+        "u": pa.array([*u, *of], pa.int64()), "v": padded(v, pa.int64(), 0, len(of)),
+        "connects": padded(map(bool, connects), pa.bool_(), 0, len(of)), "n": padded(reached, pa.int64(), len(u), 0),
+    })
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -417,6 +434,14 @@ def similar_documents(
     those with equal sets (null for empty sets). ``links`` (u, v), u < v, holds every pair of nodes that link;
     without ``every`` only as many as the components need.
     """
+    members, _, links, _ = _joined(docs, width, num, den, every, False)
+    return members, links
+
+
+def _joined(
+    docs: DataFrame, width: int, num: int, den: int, every: bool, counted: bool
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(members, nodes, links, documents reached by each node's links if ``counted``)."""
     threshold = Threshold(num, den)
     texts = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text"))
     measured = stored(texts.mapInArrow(
@@ -427,7 +452,9 @@ def similar_documents(
     held[per_slot["slot"].to_numpy()] = per_slot["held"].to_numpy()
 
     members = measured.filter("slot is null").select("doc_id", "n_shingles", "set_key")
-    nodes = members.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
+    nodes = members.filter("set_key is not null").groupBy("set_key").agg(
+        F.min("doc_id").alias("doc_id"), F.count_distinct("doc_id").alias("copies")
+    )
     nodes = stored(nodes.filter("doc_id is not null"), "nodes")
     keyed = texts.mapInArrow(_prefixes(width, threshold, held), "doc_id long, keys array<bigint>").join(
         nodes.select("doc_id"), "doc_id", "left_semi"
@@ -456,18 +483,22 @@ def similar_documents(
             dealt = dealt.withColumn("lesser", F.filter(same_band, lambda g: g < F.col("grp")))
         else:
             dealt = dealt.withColumn("lesser", F.lit(None).cast("array<bigint>"))
+        copies = F.lit(None).cast("long")
+        if prefix_of is None and counted:
+            dealt, copies = dealt.join(nodes.select("doc_id", "copies"), "doc_id"), F.col("copies")
         dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         sets = hashed.mapInArrow(_sets(width, _bitmap(groups), prefix_of), "doc_id long, size long, tokens binary")
         units = dealt.join(sets, "doc_id").select(
             "doc_id", "block", "tokens", "grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "size",
-            "lesser",
+            "lesser", copies.alias("copies"),
         )
-        found = units.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(work, "u long, v long, connects boolean")
-        return found.groupBy("u", "v").agg(F.max("connects").alias("connects"))
+        found = units.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(work, "u long, v long, connects boolean, n long")
+        return found.groupBy("u", "v").agg(F.max("connects").alias("connects"), F.sum("n").alias("n"))
 
     paired = in_units(grouped, threshold, _units(threshold)).select(F.col("u").alias("grp"), F.col("v").alias("doc_id"))
     paired = stored(paired, "partnered")
-    links = stored(in_units(paired, None, _units(threshold, held, every)), "links")
+    found = stored(in_units(paired, None, _units(threshold, held, every, counted)), "links")
+    links = found.filter("v is not null")
     named = components(links.filter("connects").select("u", "v"))
     labelled = nodes.withColumnRenamed("doc_id", "of_set").join(named, F.col("of_set") == F.col("node"), "left").select(
         "set_key", F.coalesce("component", "of_set").alias("component_id"), F.col("of_set").alias("node")
@@ -475,26 +506,31 @@ def similar_documents(
     result = members.join(labelled, "set_key", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node"
     )
-    return result, links.select("u", "v")
+    reached = found.filter("v is null").select(F.col("u").alias("of"), F.col("n").alias("linked"))
+    return result, nodes.select(F.col("doc_id").alias("node"), F.col("copies").alias("n")), links.select("u", "v"), reached
 
 
 def counted_documents(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links of each document, from one join."""
-    members, links = similar_documents(docs, width, num, den)
-    return _with_counts(members, links).select("doc_id", "n_shingles", "component_id", "n_links")
+    """doc_id, n_shingles, component_id and n_links (other documents it links with) of each document.
+
+    All pairs are verified and counted; only those that connect are handed on.
+    """
+    members, sizes, _, reached = _joined(docs, width, num, den, True, True)
+    return _with_counts(members, sizes, reached).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def link_counts(members: DataFrame, links: DataFrame) -> DataFrame:
     """doc_id and n_links: the other documents that a document links with, those of an equal set among them."""
-    return _with_counts(members, links).select("doc_id", "n_links")
-
-
-def _with_counts(members: DataFrame, links: DataFrame) -> DataFrame:
     sizes = members.filter("node is not null and doc_id is not null").groupBy("node").agg(F.count_distinct("doc_id").alias("n"))
     both = links.select(F.col("u").alias("of"), F.col("v").alias("node")).union(
         links.select(F.col("v").alias("of"), F.col("u").alias("node"))
     )
     others = both.join(sizes, "node").groupBy("of").agg(F.sum("n").alias("linked"))
+    return _with_counts(members, sizes, others).select("doc_id", "n_links")
+
+
+def _with_counts(members: DataFrame, sizes: DataFrame, others: DataFrame) -> DataFrame:
+    """Members with n_links, from the documents of each node (n) and those its links lead to (linked)."""
     counts = sizes.join(others, F.col("node") == F.col("of"), "left").select(
         "node", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
     )

@@ -116,7 +116,7 @@ FROM keyed LEFT JOIN nodes ON keyed.k = nodes.k AND keyed.n > 0 LEFT JOIN sizes
 
 @query("op4_ngram_jaccard_links")
 def op4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.link_counts(*jaccard_join.similar_documents(table(spark, sf_dir, "documents"), width=3, num=9, den=10))
+    return jaccard_join.counted_documents(table(spark, sf_dir, "documents"), width=3, num=9, den=10).select("doc_id", "n_links")
 
 
 #: The pairs of op4_ngram_jaccard_join, counted for each document instead of followed.
