@@ -14,9 +14,9 @@ from ebbtide.plans.shape import portable
 from ebbtide.plans.summaries import union
 from ebbtide.session import cut_lineage
 
-#: Of each family the library's default in the comparison; the strengths of the logistic regression are all searched.
-#: ``models.GRIDS`` has the whole grids (README says what they take).
-DEFAULTS = {"boosted_trees": {"maxIter": (200,)}, "random_forest": {"numTrees": (200,)}, "logistic_regression": models.GRIDS["logistic_regression"]}
+#: The comparison of the families: one point of each tree family, 25 rounds of boosting (200 in ``m1_boosted_trees``), all
+#: strengths of the logistic regression. ``models.GRIDS`` has the whole grids (README says what they take).
+DEFAULTS = {"boosted_trees": {"maxIter": (25,)}, "random_forest": {"numTrees": (200,)}, "logistic_regression": models.GRIDS["logistic_regression"]}
 HELD_PERIODS = 3
 _KEPT: dict[tuple, object] = {}
 
