@@ -214,38 +214,56 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _licence_sql() -> str:
-    rows, k = [], 0
-    for name, notices in sorted(licenses.TEMPLATES.items()):
-        for notice in notices:
-            rows += [f"({k}, '{name}', '{term}', {n})" for term, n in sorted(licenses.template_terms(notice).items())]
-            k += 1
+    rows = [
+        f"({x.k}, '{x.license}', {x.body}, '{term}', {j}, {len(x.terms)})"
+        for x in licenses.numbered(licenses.TEMPLATES, licenses.BODIES) for j, term in enumerate(x.terms)
+    ]
     return f"""
-WITH notices(k, license, term, c) AS (VALUES {", ".join(rows)}), docs AS (
+WITH places(k, license, body, term, j, len) AS (VALUES {", ".join(rows)}), notices AS (
+  SELECT k, license, body, term, count(*) AS c FROM places GROUP BY ALL
+), docs AS (
   SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source,
     CASE WHEN doc_id % 3 > 0 THEN lang END, CASE WHEN doc_id % 3 = 2 THEN (doc_id // 100)::VARCHAR END,
     CASE WHEN doc_id % 7 = 0 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END) AS path
   FROM documents
 ), lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM docs
-), words AS (
-  SELECT doc_id, line, unnest(regexp_extract_all(lower(l), '[a-z0-9]+')) AS term FROM lines
-), held AS (
-  SELECT term, count(DISTINCT doc_id) AS h FROM words WHERE term IN (SELECT term FROM notices) GROUP BY term
+), split AS (
+  SELECT doc_id, line, regexp_extract_all(lower(l), '[a-z0-9]+') AS t FROM lines
+), words AS MATERIALIZED (
+  SELECT doc_id, line, term, row_number() OVER (PARTITION BY doc_id ORDER BY line, i) - 1 AS i
+  FROM (SELECT doc_id, line, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM split)
+), held AS MATERIALIZED (
+  SELECT term, count(DISTINCT doc_id) AS h FROM words GROUP BY term
 ), size AS (
   SELECT count(*)::DOUBLE AS n FROM docs
-), idf AS (
-  SELECT term, ln((n + 1) / (coalesce(h, 0) + 1)) + 1 AS idf
-  FROM (SELECT DISTINCT term FROM notices) LEFT JOIN held USING (term), size
-), weights AS (
-  SELECT k, license, term, c * idf / sqrt(sum(c * idf * c * idf) OVER (PARTITION BY k)) AS w FROM notices JOIN idf USING (term)
-), vectors AS (
-  SELECT doc_id, line, term, count(*) * coalesce(any_value(idf), any_value(ln(n + 1) + 1)) AS weight
-  FROM words LEFT JOIN idf USING (term), size GROUP BY doc_id, line, term
+), idf AS MATERIALIZED (
+  SELECT term, coalesce(h, 0) AS h, ln((n + 1) / (coalesce(h, 0) + 1)) + 1 AS idf
+  FROM held FULL JOIN (SELECT DISTINCT term FROM notices) USING (term), size
+), weights AS MATERIALIZED (
+  SELECT k, license, body, term, h, c * idf / sqrt(sum(c * idf * c * idf) OVER (PARTITION BY k)) AS w FROM notices JOIN idf USING (term)
+), distinctive AS (
+  SELECT k, term, h FROM weights
+  QUALIFY sqrt(sum(w * w) OVER (PARTITION BY k ORDER BY w, term ROWS UNBOUNDED PRECEDING)) >= {licenses.LEAST}
+), seeds AS (
+  SELECT k, term FROM distinctive JOIN (SELECT DISTINCT k FROM notices WHERE NOT body) USING (k) WHERE h > 0
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY h, term) <= {licenses.SEEDS}
+), starts AS (
+  SELECT DISTINCT doc_id, k AS versus, i - j AS begin_at, len FROM words JOIN seeds USING (term) JOIN places USING (k, term)
+), candidates AS (
+  SELECT doc_id, {licenses.LINE} AS versus, line AS begin_at, line, term FROM words
+  UNION ALL SELECT doc_id, {licenses.FILE}, 0, 0, term FROM words JOIN docs USING (doc_id) WHERE regexp_matches(path, '{licenses.FILE_NAME}')
+  UNION ALL SELECT doc_id, versus, begin_at, min(line) OVER (PARTITION BY doc_id, versus, begin_at), term
+  FROM starts JOIN words USING (doc_id) WHERE i >= begin_at AND i < begin_at + len
+), vectors AS MATERIALIZED (
+  SELECT doc_id, versus, begin_at, line, term, count(*) * any_value(idf) AS weight
+  FROM candidates JOIN idf USING (term) GROUP BY doc_id, versus, begin_at, line, term
 ), norms AS (
-  SELECT doc_id, line, sqrt(sum(weight * weight)) AS norm FROM vectors GROUP BY doc_id, line
+  SELECT doc_id, versus, begin_at, sqrt(sum(weight * weight)) AS norm FROM vectors GROUP BY doc_id, versus, begin_at
 ), likeness AS (
   SELECT doc_id, line, license, round(sum(weight * w) / any_value(norm), 9) AS similarity
-  FROM vectors JOIN weights USING (term) JOIN norms USING (doc_id, line) GROUP BY doc_id, line, k, license
+  FROM vectors JOIN weights USING (term) JOIN norms USING (doc_id, versus, begin_at)
+  WHERE versus = k OR versus = {licenses.FILE} OR versus = {licenses.LINE} AND NOT body GROUP BY doc_id, versus, begin_at, line, k, license
 ), own AS (
   SELECT * FROM likeness WHERE similarity >= {licenses.LEAST}
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, line, license) = 1

@@ -171,44 +171,87 @@ def test_calls_of_odd_turns(spark, tables):
         assert r["message"] == json.dumps(parsed, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def plain_scan(data, least):
-    """Best (similarity, line, licence) of each text by dictionaries."""
+def plain_scan(data, paths, least):
+    """Best (similarity, line, licence) of each text by dictionaries: lines, windows on the rarest distinctive terms, licence files."""
     import math
     import re
 
     def terms(text):
-        return Counter(t for t in re.split("[^a-z0-9]+", text.lower()) if t)
+        return [t for t in re.split("[^a-z0-9]+", text.lower()) if t]
 
-    notices = [(name, licenses.template_terms(t)) for name, texts in licenses.TEMPLATES.items() for t in texts]
+    known = licenses.numbered(licenses.TEMPLATES, licenses.BODIES)
     held = Counter(t for text in data for t in set(terms(text or "")))
-    known = {t for _, own in notices for t in own}
-    idf = lambda t: licenses.inverse_frequency(held[t] if t in known else 0, len(data))
+
+    def unit(words):
+        own = {t: c * licenses.inverse_frequency(held[t], len(data)) for t, c in Counter(words).items()}
+        norm = math.sqrt(sum(w * w for w in own.values())) or 1.0
+        return {t: w / norm for t, w in own.items()}
+
+    vectors = [unit(x.terms) for x in known]
+    laid = []
+    for x, own in zip(known, vectors, strict=True):
+        marks = sorted((held[t], t) for t in licenses.distinctive(own, least) if held[t])[: licenses.SEEDS]
+        laid.append([] if x.body else [(t, j) for _, t in marks for j, other in enumerate(x.terms) if other == t])
     found = []
-    for text in data:
-        best = None
+    for text, path in zip(data, paths, strict=True):
+        words = [(k, t) for k, line in enumerate((text or "").split("\n")) for t in terms(line)]
+        tried = []
         for k, line in enumerate((text or "").split("\n")):
-            own = {t: c * idf(t) for t, c in terms(line).items()}
-            norm = math.sqrt(sum(w * w for w in own.values()))
-            for name, notice in notices:
-                other = {t: c * idf(t) for t, c in notice.items()}
-                dot = sum(w * other.get(t, 0) for t, w in own.items())
-                if dot and dot / norm / math.sqrt(sum(w * w for w in other.values())) >= least:
-                    key = (-round(dot / norm / math.sqrt(sum(w * w for w in other.values())), 6), k, name)
-                    best = min(best or key, key)
+            tried += [(k, terms(line), n) for n, x in enumerate(known) if not x.body]
+        if re.search(licenses.FILE_NAME, path):
+            tried += [(0, [t for _, t in words], n) for n in range(len(known))]
+        for n, x in enumerate(known):
+            for at in {i - j for t, j in laid[n] for i, (_, w) in enumerate(words) if w == t}:
+                window = words[max(at, 0) : at + len(x.terms)]
+                tried.append((window[0][0], [t for _, t in window], n))
+        best = None
+        for line, candidate, n in tried:
+            likeness = sum(w * vectors[n].get(t, 0) for t, w in unit(candidate).items())
+            if likeness >= least:
+                key = (-round(likeness, 6), line, known[n].license)
+                best = min(best or key, key)
         found.append(best)
     return found
 
 
 def test_licences_are_those_of_a_plain_scan(spark, tables):
     texts = [r["text"] for r in tables("documents").orderBy("doc_id").select("text").collect()]
+    prose = " ".join(f"w{k % 97}" for k in range(30_000))
     texts += [
         None, "", "foo\nLICENSED UNDER THE APACHE LICENSE version 2.0, or so", "MIT", "Released under the MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy\nReleased under the MIT License.",
+        "Released under the MIT License.\n" * 2,
     ]
-    docs = spark.createDataFrame([(k, t, f"d/{k}.txt") for k, t in enumerate(texts)], "doc_id long, text string, path string")
-    found = {r["doc_id"]: (-round(r["similarity"], 6), r["line"], r["own_license"]) for r in licenses.scan(docs).collect()}
-    expected = {k: v for k, v in enumerate(plain_scan(texts, licenses.LEAST)) if v}
+    paths = [f"d/{k}.txt" if k % 5 else f"d/LICENSE-{k}" for k in range(len(texts))]
+    odd = {  # wrapped over lines, inside a long line, cut off at the start, whole bodies in a licence file and elsewhere
+        "w/a.txt": "x\nThis work is licensed under the\nGNU General Public\nLicense, version 3.", "w/b.txt": f"{prose} Released under the MIT License. {prose}",
+        "w/c.txt": "licensed under the GNU General Public License, version 3", "w/LICENSE": licenses.BODIES["Zlib"][0].replace(" ", "\n"),
+        "w/zlib.txt": licenses.BODIES["Zlib"][0], "w/COPYING": licenses.BODIES["MIT"][0] + " Copyright 2001 by somebody",
+    }
+    texts, paths = texts + list(odd.values()), paths + list(odd)
+    docs = spark.createDataFrame([(k, t, p) for k, (t, p) in enumerate(zip(texts, paths, strict=True))], "doc_id long, text string, path string")
+    rows = licenses.scan(docs).collect()
+    found = {r["doc_id"]: (-round(r["similarity"], 6), r["line"], r["own_license"]) for r in rows}
+    expected = {k: v for k, v in enumerate(plain_scan(texts, paths, licenses.LEAST)) if v}
     assert len(expected) > 30 and found == expected
+    named = {r["path"]: r["own_license"] for r in rows}
+    assert [named.get(p) for p in odd] == ["GPL-3.0", "MIT", "GPL-3.0", "Zlib", None, "MIT"]
+
+
+def test_a_line_has_its_licence_in_any_corpus(spark):
+    """Words that many documents hold weigh little, however many documents there are."""
+    line = "Released under the MIT License and of the last"
+    few = [(k, "and of the last", f"{k}.txt") for k in range(10)] + [(1000, line, "x.txt")]
+    many = [(k, "and of the last", f"{k}.txt") for k in range(1000)] + [(1000, line, "x.txt")]
+    for rows in (few, many):
+        found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()
+        assert [(r["doc_id"], r["own_license"]) for r in found] == [(1000, "MIT")]
+
+
+def test_licences_of_odd_rows(docs, none):
+    placed = docs.withColumn("path", F.concat(F.lit("a/LICENSE"), F.col("doc_id").cast("string"))).withColumn("term", F.lit(1))
+    assert Counter(r["doc_id"] for r in licenses.licenses(placed).collect()) == Counter(r["doc_id"] for r in docs.collect())
+    assert licenses.licenses(placed.limit(0)).collect() == []
 
 
 def test_nearest_directory_is_inherited(spark, none):
