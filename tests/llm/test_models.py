@@ -348,3 +348,15 @@ def test_a_licence_at_the_root_speaks_for_the_whole_tree(spark):
         1: ("MIT", "header", None), 2: ("MIT", "inherited", ""), 3: ("MIT", "inherited", ""), 4: ("CC-BY-4.0", "header", None),
         5: ("CC-BY-4.0", "inherited", "c"), 6: (None, "none", None),
     }
+
+
+def test_every_window_is_compared_with_its_notice(spark):
+    """A window whose three rarest terms are not at their places, or missing, is found too."""
+    filler = " ".join(f"x{k}" for k in range(40))
+    wrong_place = "Mozilla Public License, v. 2.0, is what this Source Code Form is subject to"
+    cut = "hereby granted, free of charge, to any person obtaining a copy of this software"
+    texts = [f"{filler} {wrong_place} {filler}", f"{filler}\n{filler} {cut} {filler}", filler, "Released under"]
+    texts += ["permission", "the mozilla", "mpl", "source code form"] * 3 + ["person obtaining charge granted copy hereby free any"] * 40
+    docs = spark.createDataFrame([(k, t, f"{k}.txt") for k, t in enumerate(texts)], "doc_id long, text string, path string")
+    found = {r["doc_id"]: (r["own_license"], r["line"]) for r in licenses.scan(docs).collect()}
+    assert found[0] == ("MPL-2.0", 0) and found[1] == ("MIT", 1) and 2 not in found
